@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, prefix_bpe, tokenstore
+from . import packing, prefix_bpe, quality, simhash, tokenstore
 from .common import table
 
 
+def op3_suffix_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"))
+
+
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.store_documents(table(spark, sf_dir, "documents"))
 
@@ -22,8 +26,12 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_token_store, op7_prefix_bpe, op8_best_fit_packing)}
+    return {f.__name__: f for f in (op3_suffix_quality, op5_token_store, op7_prefix_bpe, op8_best_fit_packing, op9_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
