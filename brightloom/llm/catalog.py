@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, prefix_bpe, quality, simhash, tokenstore
+from . import automaton, packing, prefix_bpe, quality, simhash, tokenstore
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op3_suffix_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op4_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return automaton.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.store_documents(table(spark, sf_dir, "documents"))
 
@@ -31,7 +35,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_suffix_quality, op5_token_store, op7_prefix_bpe, op8_best_fit_packing, op9_simhash)}
+    return {f.__name__: f for f in (op3_suffix_quality, op4_backoff_automaton, op5_token_store, op7_prefix_bpe, op8_best_fit_packing, op9_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
