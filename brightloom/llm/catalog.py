@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import automaton, packing, prefix_bpe, quality, simhash, tokenstore
+from . import automaton, chat, packing, prefix_bpe, quality, simhash, tokenstore
 from .common import table
 
 
+def op1_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["conv_id", "turn", "role", "text"]
+    return chat.chat_digests(table(spark, sf_dir, "conversations").select(*columns).union(chat.planted(spark)))
+
+
 def op3_suffix_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
@@ -35,8 +40,8 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_suffix_quality, op4_backoff_automaton, op5_token_store, op7_prefix_bpe, op8_best_fit_packing, op9_simhash)}
+    return {f.__name__: f for f in (op1_chat_round_trip, op3_suffix_quality, op4_backoff_automaton, op5_token_store, op7_prefix_bpe, op8_best_fit_packing, op9_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_chat_round_trip": chat.ORACLE}
