@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import automaton, chat, packing, prefix_bpe, quality, simhash, tokenstore
+from . import automaton, chat, packing, pii, prefix_bpe, quality, simhash, tokenstore
 from .common import table
 
 
@@ -39,8 +39,12 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_round_trip, op3_suffix_quality, op4_backoff_automaton, op5_token_store, op7_prefix_bpe, op8_best_fit_packing, op9_simhash)}
+    return {f.__name__: f for f in (op1_chat_round_trip, op3_suffix_quality, op4_backoff_automaton, op5_token_store, op7_prefix_bpe, op8_best_fit_packing, op9_simhash, op10_contextual_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
