@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import automaton, chat, packing, pii, prefix_bpe, quality, simhash, tokenstore
+from . import automaton, chat, mips, packing, pii, prefix_bpe, quality, simhash, tokenstore
 from .common import table
 
 
@@ -15,6 +15,10 @@ def op1_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(table(spark, sf_dir, "conversations").select(*columns).union(chat.planted(spark)))
 
 
+def op2_anisotropic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mips.search(table(spark, sf_dir, "embeddings"))
+
+
 def op3_suffix_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
@@ -44,7 +48,7 @@ def op10_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_round_trip, op3_suffix_quality, op4_backoff_automaton, op5_token_store, op7_prefix_bpe, op8_best_fit_packing, op9_simhash, op10_contextual_pii)}
+    return {f.__name__: f for f in (op1_chat_round_trip, op2_anisotropic_search, op3_suffix_quality, op4_backoff_automaton, op5_token_store, op7_prefix_bpe, op8_best_fit_packing, op9_simhash, op10_contextual_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
