@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import automaton, chat, mips, packing, pii, prefix_bpe, quality, simhash, tokenstore
+from . import automaton, chat, hostpaths, mips, packing, pii, prefix_bpe, quality, simhash, tokenstore
 from .common import table
 
 
@@ -31,6 +31,10 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.store_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_host_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hostpaths.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op7_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_bpe.token_digests(table(spark, sf_dir, "documents"))
 
@@ -48,7 +52,7 @@ def op10_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_round_trip, op2_anisotropic_search, op3_suffix_quality, op4_backoff_automaton, op5_token_store, op7_prefix_bpe, op8_best_fit_packing, op9_simhash, op10_contextual_pii)}
+    return {f.__name__: f for f in (op1_chat_round_trip, op2_anisotropic_search, op3_suffix_quality, op4_backoff_automaton, op5_token_store, op6_host_consensus, op7_prefix_bpe, op8_best_fit_packing, op9_simhash, op10_contextual_pii)}
 
 
 def oracle_sql() -> dict[str, str]:

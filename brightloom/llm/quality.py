@@ -11,6 +11,7 @@ text's repeated part.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from .common import arrow_pass
@@ -134,8 +135,6 @@ def keep(docs: DataFrame, **limits: float) -> DataFrame:
 
 def mark(docs: DataFrame, window: int = WINDOW, max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST) -> DataFrame:
     """All columns of ``docs`` and the verdict ``_kept``."""
-    import pandas as pd
-
     def verdict(texts: pd.Series) -> pd.Series:
         values, out, start, size = [t if isinstance(t, str) else "" for t in texts], [], 0, 0
         for i, t in enumerate(values):

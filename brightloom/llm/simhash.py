@@ -21,7 +21,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import arrow_pass, cut
 from .components import components
@@ -56,14 +56,17 @@ def fingerprint(words: list[bytes], shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id long, fp long`` (the 64 bits as a signed number) of every text; null or empty: 0."""
+def fingerprints(docs: DataFrame, *others: F.Column) -> DataFrame:
+    """``doc_id long, fp long`` (the 64 bits as a signed number) of every text (null or empty: 0), and
+    other columns of type long."""
+    names = [f"_{i}" for i in range(len(others))]
 
     def rows(columns: list[list]) -> dict:
         fps = [fingerprint((t or "").encode().lower().split()) for t in columns[1]]
-        return {"doc_id": columns[0], "fp": np.array(fps, np.uint64).view(np.int64)}
+        return {"doc_id": columns[0], "fp": np.array(fps, np.uint64).view(np.int64)} | dict(zip(names, columns[2:], strict=True))
 
-    return arrow_pass(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), "doc_id long, fp long", rows)
+    needed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *[c.alias(n) for c, n in zip(others, names, strict=True)])
+    return arrow_pass(needed, "doc_id long, fp long" + "".join(f", {n} long" for n in names), rows)
 
 
 def _bits(fps: np.ndarray) -> np.ndarray:
@@ -290,6 +293,13 @@ def links(fps: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     return ordered.mapInArrow(verified, "a long, b long")
 
 
+def classes_of(own: DataFrame, bits: int = MAX_BITS) -> DataFrame:
+    """``fp, root`` for every distinct fingerprint of ``own``; fingerprints of a component share a root."""
+    classes = cut(own.select("fp").distinct(), "classes")
+    roots = components(links(classes, bits))
+    return classes.join(roots, classes.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     """``doc_id, fingerprint`` (16 hex digits)``, component_id`` (the smallest doc_id of the component).
 
@@ -297,9 +307,22 @@ def near_duplicates(docs: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     null doc_id never names a component unless all its ids are null; an empty table gives no rows.
     """
     own = cut(fingerprints(docs), "fingerprints")
-    classes = cut(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    roots = components(links(classes, bits))
-    rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = rooted.select("fp", "root").join(named, "root").select("fp", "component_id")
+    roots = cut(classes_of(own, bits), "roots")
+    least = own.groupBy("fp").agg(F.min("doc_id").alias("least")).join(roots, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
+    of = roots.join(least, "root").select("fp", "component_id")
     return own.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, bits: int = MAX_BITS) -> DataFrame:
+    """The rows of ``docs`` but for near-duplicates: of each component the row with the smallest doc_id
+    (an id before none), then by hashes of the text and of all columns. All columns stay."""
+    text, row = F.xxhash64(F.col("text").cast("string")), F.xxhash64(*docs.columns)
+    own = cut(fingerprints(docs, text, row), "fingerprints")
+    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_0", "_1")
+    # The least row of each fingerprint first, so that a hot one is summed up before it meets its root.
+    least = own.groupBy("fp").agg(F.min(order).alias("m")).join(classes_of(own, bits), "fp").groupBy("root").agg(F.min("m").alias("m"))
+    chosen = cut(least.select("m.doc_id", "m._0", "m._1"), "chosen").toDF("_id", "_text", "_row")
+    rows = docs.withColumn("_0", text).withColumn("_1", row)
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_0") == F.col("_text")) & (F.col("_1") == F.col("_row"))
+    turn = F.row_number().over(Window.partitionBy("doc_id", "_0", "_1").orderBy("_1"))  # repeated rows
+    return rows.join(chosen, same, "left_semi").withColumn("_turn", turn).where("_turn = 1").select(*docs.columns)
