@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -43,8 +45,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def slices(batch: pa.RecordBatch, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows whose strings have about ``limit`` bytes, or one longer row; a task
+    then holds the words of so much text at once, whatever Spark puts into a batch."""
+    sizes = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
+            sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    group = np.cumsum(sizes) // limit
+    cuts = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def arrow_pass(df: DataFrame, schema: str, rows: Callable[[list[list]], dict]) -> DataFrame:
-    """Run ``rows`` on each Arrow batch's columns (as Python lists); it returns columns by name."""
+    """Run ``rows`` on the columns (as Python lists) of slices of each batch; it returns columns by name."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -53,8 +69,8 @@ def arrow_pass(df: DataFrame, schema: str, rows: Callable[[list[list]], dict]) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                out = rows([batch.column(i).to_pylist() for i in range(batch.num_columns)])
+            for part in slices(batch):
+                out = rows([part.column(i).to_pylist() for i in range(part.num_columns)])
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, target)
