@@ -1,25 +1,14 @@
-"""Registered queries: name -> (function of session and table folder, DuckDB SQL or None)."""
+"""All registered queries of the library."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import documents, relational
+from .base import Query
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-
-def topk_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three part types of each brand with the most revenue."""
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
-    sums = lines.join(parts, lines.l_partkey == parts.p_partkey).groupBy("p_brand", "p_type").agg(
-        F.count("*").alias("n"), F.round(F.avg("l_quantity"), 3).alias("avg_quantity"), F.round(F.sum("l_extendedprice"), 2).alias("revenue"))
-    rank = F.row_number().over(Window.partitionBy("p_brand").orderBy(F.desc("n"), F.desc("avg_quantity"), "p_type"))
-    return sums.withColumn("rank", rank).where("rank <= 3")
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"topk_per_group": topk_per_group}
+def queries() -> dict[str, Query]:
+    return relational.R.queries | documents.R.queries
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return relational.R.sql | documents.R.sql
