@@ -45,6 +45,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """``names``, with underscores added to those that ``df`` has in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def slices(batch: pa.RecordBatch, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows whose strings have about ``limit`` bytes, or one longer row; a task
     then holds the words of so much text at once, whatever Spark puts into a batch."""

@@ -90,7 +90,9 @@ class Pieces(dict):
         self.find = regex.compile(WORD_PATTERN).findall
 
     def __missing__(self, piece: str) -> bytes:
-        if self.words:
+        if recent(piece):
+            ids = self.whole.encode(piece, add_special_tokens=False).ids
+        elif self.words:
             single, ids = self.core._core_bpe.encode_single_piece, []
             for word in self.find(normal(piece)):
                 ids += single(word.encode() + END_BYTE)
@@ -120,6 +122,11 @@ class Pieces(dict):
         return self[" " + piece]
 
 
+def recent(piece: str) -> bool:
+    """It holds characters that Python's Unicode tables don't have; the libraries' tables differ on them."""
+    return not piece.isascii() and any(unicodedata.category(c) == "Cn" for c in piece)
+
+
 def normal(text: str) -> str:
     """NFC and lower case, each character alone (so no final sigma)."""
     if not unicodedata.is_normalized("NFC", text):

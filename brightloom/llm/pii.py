@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import cut
+from .common import cut, free
 
 KINDS = ("email", "ip", "card", "phone")
 OPEN, CLOSE, OTHER = "﷐", "﷑", "�"
@@ -166,7 +166,8 @@ def personal_digests(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with each span replaced by its kind in brackets, such as ``[EMAIL]``, and n_chars, if
     there, counted anew. Of overlapping spans the first counts, up to the last one's end."""
-    marked = cut(docs.withColumn("_text", F.col("text").cast("string")), "marked")
+    text_, row, cuts = free(docs, "_text", "_row", "_cuts")
+    marked = cut(docs.withColumn(text_, F.col("text").cast("string")), "marked")
     found = find_personal(marked.select("doc_id", "text"))
     # Spans by start; a span that begins inside what came before only moves its end.
     merged = F.aggregate(
@@ -174,18 +175,18 @@ def redact(docs: DataFrame) -> DataFrame:
         lambda acc, s: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["stop"] > s["start"]),
                               F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.element_at(acc, -1)["kind"].alias("kind"), F.greatest(F.element_at(acc, -1)["stop"], s["stop"]).alias("stop")))))
         .otherwise(F.concat(acc, F.array(F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop"))))))
-    spans = found.where(F.size("spans") > 0).select("row", merged.alias("_spans"))
-    rows = marked.withColumn("row", F.monotonically_increasing_id())
+    spans = found.where(F.size("spans") > 0).select(F.col("row").alias(row), merged.alias(cuts))
+    rows = marked.withColumn(row, F.monotonically_increasing_id())
     tags = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
 
     def piece(s: Column, i: Column) -> Column:
-        begin = F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get(F.col("_spans"), i - 1)["stop"])
-        return F.concat(F.substr(F.col("_text"), (begin + 1).cast("int"), (s["start"] - begin).cast("int")), F.get(tags, s["kind"]))
+        begin = F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get(F.col(cuts), i - 1)["stop"])
+        return F.concat(F.substr(F.col(text_), (begin + 1).cast("int"), (s["start"] - begin).cast("int")), F.get(tags, s["kind"]))
 
-    tail = F.substr(F.col("_text"), (F.element_at("_spans", -1)["stop"] + 1).cast("int"))
-    joined = rows.join(spans, "row", "left")
-    text = F.when(F.col("_spans").isNull(), F.col("_text")).otherwise(F.concat(F.concat_ws("", F.transform("_spans", piece)), tail))
+    tail = F.substr(F.col(text_), (F.element_at(cuts, -1)["stop"] + 1).cast("int"))
+    joined = rows.join(spans, row, "left")
+    text = F.when(F.col(cuts).isNull(), F.col(text_)).otherwise(F.concat(F.concat_ws("", F.transform(cuts, piece)), tail))
     out = joined.withColumn("text", text)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
+        out = out.withColumn("n_chars", F.when(F.col(cuts).isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
     return out.select(*docs.columns)

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from .common import arrow_pass
-from .encoding import CACHE_ENTRIES, ODD_SPACE, WORD_PATTERN, byte_symbols, normal, tokenizer_path, vocabulary
+from .encoding import CACHE_ENTRIES, ODD_SPACE, WORD_PATTERN, byte_symbols, normal, recent, tokenizer_path, vocabulary
 
 MARK = "</w>"
 NEVER = 1 << 40
@@ -50,6 +50,7 @@ class PrefixEncoder:
 
         vocab, merges, self.special = vocabulary(path)
         back = {c: b for b, c in byte_symbols().items()}
+        self.path, self.back, self.whole = path, back, None
 
         def symbols(token: str) -> str:
             ends = token.endswith(MARK)
@@ -138,7 +139,7 @@ class PrefixEncoder:
     def chunk(self, chunk: str) -> bytes:
         """The ids of text without white space."""
         ids: list[int] = []
-        for word in self.find(normal(chunk)):
+        for word in self.split(chunk) if recent(chunk) else self.find(normal(chunk)):
             if (found := self.known.get(word)) is None:
                 if len(self.known) > CACHE_ENTRIES:
                     self.known.clear()
@@ -146,6 +147,16 @@ class PrefixEncoder:
             ids += found
         return array("I", ids).tobytes()
 
+    def split(self, chunk: str) -> list[str]:
+        """Words by the library's own tables, for characters that Python's don't have."""
+        if self.whole is None:
+            from tokenizers import Tokenizer
+
+            self.whole = Tokenizer.from_file(self.path)
+        whole = self.whole
+        parts = whole.pre_tokenizer.pre_tokenize_str(whole.normalizer.normalize_str(chunk))
+        return [bytes(self.back[c] for c in p).decode() for p, _ in parts]
+
     def plain(self, text: str) -> bytes:
         if len(self.chunks) > CACHE_ENTRIES:
             self.chunks.clear()

@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import arrow_pass
+from .common import arrow_pass, free
 
 #: Limits of the verdict and of the base rules.
 MIN_WORDS = 10
@@ -127,14 +127,9 @@ def quality(docs: DataFrame, window: int = WINDOW, max_covered: float = MAX_COVE
     return arrow_pass(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), schema, rows)
 
 
-def keep(docs: DataFrame, **limits: float) -> DataFrame:
+def keep(docs: DataFrame, window: int = WINDOW, max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns."""
-    marked = mark(docs, **limits)
-    return marked.where("_kept").drop("_kept")
 
-
-def mark(docs: DataFrame, window: int = WINDOW, max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST) -> DataFrame:
-    """All columns of ``docs`` and the verdict ``_kept``."""
     def verdict(texts: pd.Series) -> pd.Series:
         values, out, start, size = [t if isinstance(t, str) else "" for t in texts], [], 0, 0
         for i, t in enumerate(values):
@@ -144,4 +139,6 @@ def mark(docs: DataFrame, window: int = WINDOW, max_covered: float = MAX_COVERED
                 start, size = i + 1, 0
         return pd.Series(out, dtype=bool)
 
-    return docs.withColumn("_kept", F.pandas_udf(verdict, "boolean")(F.col("text").cast("string")))
+    (kept,) = free(docs, "_kept")
+    marked = docs.withColumn(kept, F.pandas_udf(verdict, "boolean")(F.col("text").cast("string")))
+    return marked.where(F.col(kept)).drop(kept)

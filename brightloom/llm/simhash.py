@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import arrow_pass, cut
+from .common import arrow_pass, cut, free
 from .components import components
 
 SEED = 42
@@ -321,8 +321,9 @@ def one_of_each(docs: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_0", "_1")
     # The least row of each fingerprint first, so that a hot one is summed up before it meets its root.
     least = own.groupBy("fp").agg(F.min(order).alias("m")).join(classes_of(own, bits), "fp").groupBy("root").agg(F.min("m").alias("m"))
-    chosen = cut(least.select("m.doc_id", "m._0", "m._1"), "chosen").toDF("_id", "_text", "_row")
-    rows = docs.withColumn("_0", text).withColumn("_1", row)
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_0") == F.col("_text")) & (F.col("_1") == F.col("_row"))
-    turn = F.row_number().over(Window.partitionBy("doc_id", "_0", "_1").orderBy("_1"))  # repeated rows
-    return rows.join(chosen, same, "left_semi").withColumn("_turn", turn).where("_turn = 1").select(*docs.columns)
+    id_, text_, row_, t, r, turn = free(docs, "_id", "_text", "_row", "_t", "_r", "_turn")
+    chosen = cut(least.select("m.doc_id", "m._0", "m._1"), "chosen").toDF(id_, text_, row_)
+    rows = docs.withColumn(t, text).withColumn(r, row)
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(t) == F.col(text_)) & (F.col(r) == F.col(row_))
+    again = F.row_number().over(Window.partitionBy("doc_id", t, r).orderBy(r))  # repeated rows
+    return rows.join(chosen, same, "left_semi").withColumn(turn, again).where(F.col(turn) == 1).select(*docs.columns)
