@@ -14,10 +14,13 @@ import re
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import arrow_pass
+from .common import arrow_pass, cut
 
 #: Paths of a page that vote, and paths of a host that may win.
 VOTES, WINNERS = 3, 5
+#: A host with this share of all pages is hot; there can be 1 / HOT_SHARE of them at most. Their pages
+#: get the winners by broadcast and are dealt out evenly, over SALTS keys.
+HOT_SHARE, SALTS = 0.01, 1024
 
 # HTML's own tag classes.
 BLOCKS = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -193,21 +196,22 @@ def host_of(url: str | None) -> str | None:
 
 
 def host_votes(pages: DataFrame) -> DataFrame:
-    """``host, path, votes``: votes of all pages; a page's best path counts 1000, its others less."""
+    """``host, path, votes, pages``: votes of all pages; a page's best path counts 1000, its others less.
+    A page is counted at its best path, one without text at a path of its own without votes."""
 
     def rows(columns: list[list]) -> dict:
-        out: dict[str, list] = {"host": [], "path": [], "votes": []}
+        out: dict[str, list] = {"host": [], "path": [], "votes": [], "pages": []}
         for url, source in zip(*columns, strict=True):
             if (host := host_of(url)) is None:
                 continue
-            best = Page(source or "").best()
-            for path, score in best:
-                for k, v in zip(out, (host, path, int(1000 * score / best[0][1])), strict=True):
+            best = Page(source or "").best() or [("", 0.0)]
+            for i, (path, score) in enumerate(best):
+                for k, v in zip(out, (host, path, int(1000 * score / best[0][1]) if path else 0, int(i == 0)), strict=True):
                     out[k].append(v)
         return out
 
-    votes = arrow_pass(pages.select(F.col("url").cast("string"), F.col("html").cast("string")), "host string, path string, votes long", rows)
-    return votes.groupBy("host", "path").agg(F.sum("votes").alias("votes"))
+    votes = arrow_pass(pages.select(F.col("url").cast("string"), F.col("html").cast("string")), "host string, path string, votes long, pages long", rows)
+    return votes.groupBy("host", "path").agg(F.sum("votes").alias("votes"), F.sum("pages").alias("pages"))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
@@ -216,12 +220,21 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     A null html is empty; a null url has no host; repeated rows each give a row; other columns are
     ignored; an empty table gives no rows. Votes that tie are ordered by path.
     """
-    order = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("votes"), "path"))
-    first = host_votes(pages).withColumn("r", order).where(F.col("r") <= WINNERS)
-    winners = first.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("r", "path"))).alias("w")).select("host", F.col("w.path").alias("winners"))
+    of_host = Window.partitionBy("host")
+    order = F.row_number().over(of_host.orderBy(F.desc("votes"), "path"))
+    first = host_votes(pages).withColumn("n", F.sum("pages").over(of_host)).withColumn("r", order).where((F.col("r") <= WINNERS) & (F.col("path") != ""))
+    listed = F.array_sort(F.collect_list(F.struct("r", "path")))
+    winners = cut(first.groupBy("host").agg(F.max("n").alias("n"), listed["path"].alias("winners")), "winners")
+    total = winners.agg(F.sum("n")).first()[0] or 0
+    hot = winners.where(F.col("n") >= HOT_SHARE * total).select(F.col("host").alias("hot_host"), F.col("winners").alias("hot_winners"))
+    rest = winners.where(F.col("n") < HOT_SHARE * total).select(F.col("host").alias("key"), F.col("winners").alias("rest_winners"))
     host = F.lower(F.regexp_extract(F.col("url").cast("string"), _host.pattern, 1))
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"), F.when(host != "", host).alias("host"))
-    joined = rows.join(winners, "host", "left").select("page_id", "url", "html", "winners")
+    rows = rows.join(F.broadcast(hot), F.col("host") == F.col("hot_host"), "left")
+    # No host has a blank in its name, so these keys meet no winners.
+    spread = F.concat(F.lit(" "), F.pmod(F.xxhash64("page_id", "html"), F.lit(SALTS)).cast("string"))
+    rows = rows.withColumn("key", F.when(F.col("hot_winners").isNull() & F.col("host").isNotNull(), F.col("host")).otherwise(spread))
+    joined = rows.join(rest, "key", "left").select("page_id", "url", "html", F.coalesce("hot_winners", "rest_winners").alias("winners"))
 
     def extract(columns: list[list]) -> dict:
         ids, urls, sources, winners = columns
