@@ -228,18 +228,26 @@ def acceptable(c: Text, pattern: str = ACTIONABLE) -> Column:
 
 
 #: Fixed values (T22): wording of journals' and societies' notices.
-POLICY_WORDS = ["copyright", "downloaded from", "all rights reserved", "permission", "conflict of interest", "writing committee", "disclosure", "peer review", "reprint"]
+POLICY_WORDS = ["copyright", "permissions", "supplement", "appendix", "disclosures", "author affiliations"]
+PEOPLE = r"(?i)\b(representative|writing committee|task force|chair|vice chair)\b"
 
 
 def policy_noise(c: Text, words: Sequence[str] = POLICY_WORDS) -> Column:
-    """T22."""
-    return F.lower(col(c)).rlike("|".join(re.escape(w) for w in words))
+    """Notices, and people's roles without anything recommended."""
+    low = F.lower(col(c))
+    return low.rlike("|".join(re.escape(w) for w in words)) | (low.rlike(PEOPLE) & ~low.rlike("recommended|should"))
+
+
+def noise_line(c: Text) -> Column:
+    """Short lines, numbers, addresses, downloads, notices."""
+    low = F.lower(col(c))
+    return (F.length(low) < 3) | low.rlike(r"^\d+$|^http|doi:|^downloaded from") | policy_noise(c)
 
 
 def structural_line(c: Text) -> Column:
-    """Page numbers, running heads, table rules: no letters, or a short all-capital line."""
-    text = F.trim(col(c))
-    return (text == "") | ~text.rlike("[A-Za-z]{2}") | (text.rlike(r"^[A-Z0-9 .,&/:-]+$") & (F.length(text) < 40)) | text.rlike(r"(?i)^(?:page\s+\d+|table\s+\d+|figure\s+\d+)")
+    """Heads of tables, a class or a level alone, numbers of items."""
+    text = collapse(c)
+    return F.upper(text).isin("COR", "LOE", "RECOMMENDATION", "RECOMMENDATIONS") | recommendation_class(text).isNotNull() | evidence_level(text).isNotNull() | text.rlike(r"^\d+\.?$")
 
 
 # --- Labels ---------------------------------------------------------------------------------------
