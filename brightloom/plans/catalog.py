@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from . import documents, relational
+from . import documents, evidence, relational
 from .base import Query
 
 
 def queries() -> dict[str, Query]:
-    return relational.R.queries | documents.R.queries
+    return relational.R.queries | documents.R.queries | evidence.R.queries
 
 
 def oracle_sql() -> dict[str, str]:
-    return relational.R.sql | documents.R.sql
+    return relational.R.sql | documents.R.sql | evidence.R.sql
