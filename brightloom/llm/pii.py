@@ -93,11 +93,11 @@ def base_parts(text: Column) -> dict[str, Column]:
     return {k: F.when(cheap[k], _marked(text, p)).otherwise(F.array(text)) for k, p in BASE.items()}
 
 
-def _found(docs: DataFrame) -> DataFrame:
+def _found(docs: DataFrame, key: str | None = None) -> DataFrame:
     """row, doc_id, ``base`` and ``others``: base spans by start and kind, and candidates beside them."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     safe = F.when(F.contains(text, F.lit(OPEN)) | F.contains(text, F.lit(CLOSE)), F.translate(text, OPEN + CLOSE, OTHER * 2)).otherwise(text)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), safe.alias("t"))
+    rows = docs.select((F.col(key) if key else F.monotonically_increasing_id()).alias("row"), F.col("doc_id").cast("long"), safe.alias("t"))
     parts = base_parts(F.col("t"))
     cheap = F.contains(F.col("t"), F.lit("@")) | F.col("t").rlike("[0-9]{2}")
     rows = rows.select("row", "doc_id", *[c.alias(k) for k, c in parts.items()], F.when(cheap, _marked(F.col("t"), CANDIDATE)).otherwise(F.array("t")).alias("candidate"))
@@ -135,15 +135,15 @@ def _learn(docs: DataFrame, found: DataFrame) -> DataFrame:
     return loose.join(known, ["kind", "value"], "left_semi").select("row", "start", "kind", "stop", "value")
 
 
-def find_personal(docs: DataFrame) -> DataFrame:
-    """``row, doc_id, base, spans`` for each row of ``docs``: base entities, and those with what contexts
+def find_personal(docs: DataFrame, key: str | None = None) -> DataFrame:
+    """``row`` (the column ``key``, else a new number)``, doc_id, base, spans`` for each row of ``docs``: base entities, and those with what contexts
     add (structs of start, kind as a place in KINDS, stop, value; code points, ``stop`` exclusive).
 
     A null text is empty and has no spans; a null doc_id stays null; repeated rows each give a row;
     columns other than doc_id and text are ignored; an empty table gives no rows. Spans of one kind don't
     overlap; kinds may. An added span overlaps no base span, and has the first kind that fits.
     """
-    found = cut(_found(docs), "found")
+    found = cut(_found(docs, key), "found")
     added = _learn(docs, found).groupBy("row", "start", "stop", "value").agg(F.min("kind").alias("kind"))
     lists = added.groupBy("row").agg(F.collect_list(F.struct("start", "kind", "stop", "value")).alias("added"))
     plain = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop"), s["value"].alias("value")))
@@ -167,8 +167,8 @@ def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with each span replaced by its kind in brackets, such as ``[EMAIL]``, and n_chars, if
     there, counted anew. Of overlapping spans the first counts, up to the last one's end."""
     text_, row, cuts = free(docs, "_text", "_row", "_cuts")
-    marked = cut(docs.withColumn(text_, F.col("text").cast("string")), "marked")
-    found = find_personal(marked.select("doc_id", "text"))
+    rows = cut(docs.withColumn(text_, F.col("text").cast("string")).withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = find_personal(rows.select("doc_id", "text", row), row)
     # Spans by start; a span that begins inside what came before only moves its end.
     merged = F.aggregate(
         "spans", F.array().cast("array<struct<start:bigint,kind:int,stop:bigint>>"),
@@ -176,7 +176,6 @@ def redact(docs: DataFrame) -> DataFrame:
                               F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.element_at(acc, -1)["kind"].alias("kind"), F.greatest(F.element_at(acc, -1)["stop"], s["stop"]).alias("stop")))))
         .otherwise(F.concat(acc, F.array(F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop"))))))
     spans = found.where(F.size("spans") > 0).select(F.col("row").alias(row), merged.alias(cuts))
-    rows = marked.withColumn(row, F.monotonically_increasing_id())
     tags = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
 
     def piece(s: Column, i: Column) -> Column:
