@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as tx
@@ -19,20 +19,28 @@ def integrity_chain(df: DataFrame, chain: Sequence[str], order: Sequence[str], p
 
 
 def hash_chain(df: DataFrame, chain: str, order: str, payload: str) -> DataFrame:
-    """hash = SHA-256(previous hash | payload), from the empty string on. Each hash needs the one
-    before, so a chain is read in order by one task; what it holds is one row at a time's hash and the
-    chain's ids and payloads. ``chain, order, hash`` are returned."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, last, out = pdf.sort_values(["o", "p"]), "", []
-        for payload_ in pdf["p"]:
-            last = hashlib.sha256(f"{last}|{payload_}".encode()).hexdigest()
-            out.append(last)
-        return pd.DataFrame({"c": pdf["c"], "o": pdf["o"], "hash": out})
+    """hash = SHA-256(previous hash | payload), from the empty string on; ``chain, order, hash``.
 
+    Each hash needs the one before, so a chain goes through one task in order. The task reads sorted rows
+    as they stream and keeps the last hash alone, so a long chain takes time but no memory. Ties are
+    ordered by payload; a null payload is empty; rows of a null chain are one chain.
+    """
     kind = dict(df.dtypes)
     rows = df.select(F.col(chain).alias("c"), F.col(order).alias("o"), F.coalesce(F.col(payload).cast("string"), F.lit("")).alias("p"))
-    return rows.groupBy("c").applyInPandas(run, f"c {kind[chain]}, o {kind[order]}, hash string").toDF(chain, order, "hash")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, last, begun = None, "", False
+        for batch in batches:
+            hashes = []
+            for c, p in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if not begun or c != current:
+                    current, last, begun = c, "", True
+                last = hashlib.sha256(f"{last}|{p}".encode()).hexdigest()
+                hashes.append(last)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hashes, pa.string())], names=["c", "o", "hash"])
+
+    ordered = rows.repartition("c").sortWithinPartitions("c", "o", "p")
+    return ordered.mapInArrow(run, f"c {kind[chain]}, o {kind[order]}, hash string").toDF(chain, order, "hash")
 
 
 def transitions(df: DataFrame, case: str, order: Sequence[str], state: str, allowed: Sequence[tuple[str, str]]) -> DataFrame:

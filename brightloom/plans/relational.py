@@ -121,9 +121,13 @@ def contains_both_ways(t: Tables) -> DataFrame:
 FROM customer LEFT JOIN orders ON o_custkey = c_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN part ON p_partkey = l_partkey GROUP BY c_custkey""")
 def multi_hop(t: Tables) -> DataFrame:
     """J10, A26."""
-    j = t.customer.join(t.orders, F.col("o_custkey") == F.col("c_custkey"), "left").join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey"), "left").join(t.part, F.col("p_partkey") == F.col("l_partkey"), "left")
-    brands = F.array_sort(F.collect_set("p_brand"))
-    return j.groupBy("c_custkey").agg(F.count_distinct("o_orderkey").alias("orders"), F.count_distinct("l_partkey").alias("parts"), F.when(F.size(brands) > 0, F.array_join(brands, ",")).alias("brands"))
+    orders = t.orders.select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderkey").alias("l_orderkey"))
+    counted = orders.groupBy("c_custkey").agg(F.count("*").alias("orders"))
+    # One distinct over (customer, part) serves the count and the brands; no row is expanded.
+    parts = orders.join(t.lineitem, "l_orderkey").select("c_custkey", F.col("l_partkey").alias("p_partkey")).distinct()
+    brands = parts.join(t.part, "p_partkey", "left").groupBy("c_custkey").agg(F.count("*").alias("parts"), F.array_join(F.array_sort(F.collect_set("p_brand")), ",").alias("brands"))
+    zero = F.lit(0)
+    return t.customer.select("c_custkey").join(counted, "c_custkey", "left").join(brands, "c_custkey", "left").select("c_custkey", F.coalesce("orders", zero).alias("orders"), F.coalesce("parts", zero).alias("parts"), "brands")
 
 
 @R.add("""SELECT coalesce(s_suppkey, c_custkey) AS key, coalesce(s_name, c_name) AS name, CASE WHEN s_suppkey IS NULL THEN 'customer' WHEN c_custkey IS NULL THEN 'supplier' ELSE 'both' END AS side
