@@ -321,9 +321,10 @@ def one_of_each(docs: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_0", "_1")
     # The least row of each fingerprint first, so that a hot one is summed up before it meets its root.
     least = own.groupBy("fp").agg(F.min(order).alias("m")).join(classes_of(own, bits), "fp").groupBy("root").agg(F.min("m").alias("m"))
-    id_, text_, row_, t, r, turn = free(docs, "_id", "_text", "_row", "_t", "_r", "_turn")
-    chosen = cut(least.select("m.doc_id", "m._0", "m._1"), "chosen").toDF(id_, text_, row_)
+    text_, row_, t, r, turn = free(docs, "_text", "_row", "_t", "_r", "_turn")
+    chosen = cut(least.select("m._0", "m._1").distinct(), "chosen").toDF(text_, row_)
     rows = docs.withColumn(t, text).withColumn(r, row)
-    same = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(t) == F.col(text_)) & (F.col(r) == F.col(row_))
-    again = F.row_number().over(Window.partitionBy("doc_id", t, r).orderBy(r))  # repeated rows
+    same = (F.col(t) == F.col(text_)) & (F.col(r) == F.col(row_))
+    # Repeated rows share both hashes; the window keeps the join's partitioning, so texts move once.
+    again = F.row_number().over(Window.partitionBy(t, r).orderBy(r))
     return rows.join(chosen, same, "left_semi").withColumn(turn, again).where(F.col(turn) == 1).select(*docs.columns)
