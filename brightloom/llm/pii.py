@@ -79,8 +79,8 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def _checked(kind: str, number: int) -> Column:
-    return F.filter(_spans(F.col(kind), number), lambda s: _valid(kind, s["value"]))
+def _checked(kind: str, number: int, column: str) -> Column:
+    return F.filter(_spans(F.col(column), number), lambda s: _valid(kind, s["value"]))
 
 
 def _count(kind: int) -> Column:
@@ -93,18 +93,21 @@ def base_parts(text: Column) -> dict[str, Column]:
     return {k: F.when(cheap[k], _marked(text, p)).otherwise(F.array(text)) for k, p in BASE.items()}
 
 
-def _found(docs: DataFrame, key: str | None = None) -> DataFrame:
-    """row, doc_id, ``base`` and ``others``: base spans by start and kind, and candidates beside them."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+def _found(rows: DataFrame, text_: str, base: str, others: str) -> DataFrame:
+    """``rows`` with the base spans of the column ``text_``, by start and kind, as ``base``, and with
+    candidates beside them as ``others``."""
+    text = F.coalesce(F.col(text_), F.lit(""))
     safe = F.when(F.contains(text, F.lit(OPEN)) | F.contains(text, F.lit(CLOSE)), F.translate(text, OPEN + CLOSE, OTHER * 2)).otherwise(text)
-    rows = docs.select((F.col(key) if key else F.monotonically_increasing_id()).alias("row"), F.col("doc_id").cast("long"), safe.alias("t"))
-    parts = base_parts(F.col("t"))
-    cheap = F.contains(F.col("t"), F.lit("@")) | F.col("t").rlike("[0-9]{2}")
-    rows = rows.select("row", "doc_id", *[c.alias(k) for k, c in parts.items()], F.when(cheap, _marked(F.col("t"), CANDIDATE)).otherwise(F.array("t")).alias("candidate"))
-    rows = rows.select("row", "doc_id", *[_checked(k, i).alias(k) for i, k in enumerate(KINDS)], _spans(F.col("candidate"), -1).alias("candidate"))
-    rows = rows.select("row", "doc_id", F.array_sort(F.concat(*KINDS)).alias("base"), "candidate")
-    free = F.filter("candidate", lambda c: ~F.exists("base", lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"])))
-    return rows.select("row", "doc_id", "base", free.alias("others"))
+    t, candidate, *kinds = free(rows, "_t", "_candidate", *[f"_{k}" for k in KINDS])
+    rows = rows.withColumn(t, safe)
+    parts = base_parts(F.col(t))
+    cheap = F.contains(F.col(t), F.lit("@")) | F.col(t).rlike("[0-9]{2}")
+    named = dict(zip(KINDS, kinds, strict=True))
+    cuts = rows.withColumns({named[k]: c for k, c in parts.items()} | {candidate: F.when(cheap, _marked(F.col(t), CANDIDATE)).otherwise(F.array(t))}).drop(t)
+    spans = cuts.withColumns({c: _checked(k, i, c) for i, (k, c) in enumerate(named.items())} | {candidate: _spans(F.col(candidate), -1)})
+    joined = spans.withColumn(base, F.array_sort(F.concat(*kinds))).drop(*kinds)
+    free_ = F.filter(candidate, lambda c: ~F.exists(base, lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"])))
+    return joined.withColumn(others, free_).drop(candidate)
 
 
 def _instances(found: DataFrame, column: str) -> DataFrame:
@@ -113,18 +116,21 @@ def _instances(found: DataFrame, column: str) -> DataFrame:
     return span.withColumn("word", F.regexp_extract(F.lower("before"), r"(\S+)\s*$", 1)).drop("before")
 
 
-def _learn(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The values that contexts add: kind, value."""
+def _learn(texts: DataFrame, found: DataFrame) -> DataFrame:
+    """What contexts add to ``found`` (row, base, others): row and ``added``, its spans. texts: ``t``."""
     seeds = _instances(found, "base").select("kind", "value", "word")
     loose = _instances(found, "others")
     kinds = F.filter(F.array(*[F.when(F.col("value").rlike(LOOSE[k]), F.lit(i)) for i, k in enumerate(KINDS)]), lambda k: k.isNotNull())
     loose = cut(loose.withColumn("kind", F.explode(kinds)), "candidates")
     patterns = seeds.unionByName(loose.select("kind", "value", "word")).where("word <> ''")
-    # How often each pattern's word stands in the corpus, counted over all texts.
-    words = docs.select(F.explode(F.split(F.lower(F.col("text").cast("string")), r"\s+")).alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("total"))
-    usable = seeds.where("word <> ''").select("word").distinct()
+    pairs = cut(patterns.groupBy("kind", "value", "word").agg(F.count("*").alias("n")), "pairs")
+    # Only words that stand before enough values, known or not, can ever be confident patterns.
+    usable = cut(pairs.groupBy("kind", "word").agg(F.count("*").alias("v")).where(F.col("v") >= MIN_VALUES).select("word").distinct(), "usable")
+    # How often each of them stands in the corpus, counted over all texts. If few are usable, Catalyst
+    # broadcasts them and filters before it counts; else partial counts meet them.
+    words = texts.select(F.explode(F.split(F.lower("t"), r"\s+")).alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("total"))
     totals = cut(words.join(usable, "word", "left_semi"), "totals")
-    edges = cut(patterns.groupBy("kind", "value", "word").agg(F.count("*").alias("n")).join(totals, "word"), "edges")
+    edges = cut(pairs.join(totals, "word"), "edges")
     known = cut(seeds.select("kind", "value").distinct(), "known")
     for _ in range(ROUNDS):
         good = (edges.join(known, ["kind", "value"], "left_semi").groupBy("kind", "word")
@@ -132,23 +138,27 @@ def _learn(docs: DataFrame, found: DataFrame) -> DataFrame:
                 .where((F.col("values") >= MIN_VALUES) & (F.col("hits") >= MIN_CONFIDENCE * F.col("total"))))
         new = edges.join(good.select("kind", "word"), ["kind", "word"], "left_semi").select("kind", "value")
         known = cut(known.union(new).distinct(), "known")
-    return loose.join(known, ["kind", "value"], "left_semi").select("row", "start", "kind", "stop", "value")
+    added = loose.join(known, ["kind", "value"], "left_semi").groupBy("row", "start", "stop", "value").agg(F.min("kind").alias("kind"))
+    return cut(added.groupBy("row").agg(F.collect_list(F.struct("start", "kind", "stop", "value")).alias("added")), "added")
 
 
-def find_personal(docs: DataFrame, key: str | None = None) -> DataFrame:
-    """``row`` (the column ``key``, else a new number)``, doc_id, base, spans`` for each row of ``docs``: base entities, and those with what contexts
-    add (structs of start, kind as a place in KINDS, stop, value; code points, ``stop`` exclusive).
+def _plain(base: str) -> Column:
+    return F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop"), s["value"].alias("value")))
+
+
+def find_personal(docs: DataFrame) -> DataFrame:
+    """``row`` (a number)``, doc_id, base, spans`` for each row of ``docs``: base entities, and those with
+    what contexts add (structs of start, kind as a place in KINDS, stop, value; code points, ``stop``
+    exclusive).
 
     A null text is empty and has no spans; a null doc_id stays null; repeated rows each give a row;
     columns other than doc_id and text are ignored; an empty table gives no rows. Spans of one kind don't
     overlap; kinds may. An added span overlaps no base span, and has the first kind that fits.
     """
-    found = cut(_found(docs, key), "found")
-    added = _learn(docs, found).groupBy("row", "start", "stop", "value").agg(F.min("kind").alias("kind"))
-    lists = added.groupBy("row").agg(F.collect_list(F.struct("start", "kind", "stop", "value")).alias("added"))
-    plain = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop"), s["value"].alias("value")))
-    own = found.select("row", "doc_id", plain.alias("base"))
-    joined = own.join(lists, "row", "left")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string").alias("t"))
+    found = cut(_found(rows, "t", "base", "others").drop("t"), "found")
+    added = _learn(docs.select(F.col("text").cast("string").alias("t")), found)
+    joined = found.select("row", "doc_id", _plain("base").alias("base")).join(added, "row", "left")
     return joined.select("row", "doc_id", "base", F.when(F.col("added").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "added"))).alias("spans"))
 
 
@@ -165,17 +175,36 @@ def personal_digests(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with each span replaced by its kind in brackets, such as ``[EMAIL]``, and n_chars, if
-    there, counted anew. Of overlapping spans the first counts, up to the last one's end."""
-    text_, row, cuts = free(docs, "_text", "_row", "_cuts")
-    rows = cut(docs.withColumn(text_, F.col("text").cast("string")).withColumn(row, F.monotonically_increasing_id()), "numbered")
-    found = find_personal(rows.select("doc_id", "text", row), row)
-    # Spans by start; a span that begins inside what came before only moves its end.
-    merged = F.aggregate(
-        "spans", F.array().cast("array<struct<start:bigint,kind:int,stop:bigint>>"),
-        lambda acc, s: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["stop"] > s["start"]),
-                              F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.element_at(acc, -1)["kind"].alias("kind"), F.greatest(F.element_at(acc, -1)["stop"], s["stop"]).alias("stop")))))
-        .otherwise(F.concat(acc, F.array(F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop"))))))
-    spans = found.where(F.size("spans") > 0).select(F.col("row").alias(row), merged.alias(cuts))
+    there, counted anew. Of overlapping spans the first counts, up to the last one's end.
+
+    Rows are written once with their base spans; only those that hold candidates meet what contexts add.
+    """
+    text_, row, base, others, added = free(docs, "_text", "_row", "_base", "_others", "_added")
+    numbered = docs.withColumn(text_, F.col("text").cast("string")).withColumn(row, F.monotonically_increasing_id())
+    rows = cut(_found(numbered, text_, base, others), "numbered")
+    found = rows.select(F.col(row).alias("row"), F.col(base).alias("base"), F.col(others).alias("others"))
+    learnt = _learn(rows.select(F.col(text_).alias("t")), found).toDF(row, added)
+    few = rows.where(F.size(others) > 0).join(learnt, row, "left")
+    spans = F.array_sort(F.concat(_plain(base), F.coalesce(added, F.array().cast("array<struct<start:bigint,kind:int,stop:bigint,value:string>>"))))
+    rest = rows.where(F.size(others) == 0)
+    return _replaced(rest, docs.columns, text_, _plain(base)).unionByName(_replaced(few, docs.columns, text_, spans))
+
+
+MERGED = "array<struct<start:bigint,kind:int,stop:bigint>>"
+
+
+def _merge(acc: Column, s: Column) -> Column:
+    """Spans by start: one that begins inside the last only moves its end."""
+    last = F.element_at(acc, -1)
+    longer = F.struct(last["start"].alias("start"), last["kind"].alias("kind"), F.greatest(last["stop"], s["stop"]).alias("stop"))
+    new = F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop"))
+    inside = (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["stop"] > s["start"])
+    return F.when(inside, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(longer))).otherwise(F.concat(acc, F.array(new)))
+
+
+def _replaced(rows: DataFrame, columns: list[str], text_: str, spans: Column) -> DataFrame:
+    (cuts,) = free(rows, "_cuts")
+    rows = rows.withColumn(cuts, F.when(F.size(spans) > 0, F.aggregate(spans, F.array().cast(MERGED), _merge)))
     tags = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
 
     def piece(s: Column, i: Column) -> Column:
@@ -183,9 +212,8 @@ def redact(docs: DataFrame) -> DataFrame:
         return F.concat(F.substr(F.col(text_), (begin + 1).cast("int"), (s["start"] - begin).cast("int")), F.get(tags, s["kind"]))
 
     tail = F.substr(F.col(text_), (F.element_at(cuts, -1)["stop"] + 1).cast("int"))
-    joined = rows.join(spans, row, "left")
     text = F.when(F.col(cuts).isNull(), F.col(text_)).otherwise(F.concat(F.concat_ws("", F.transform(cuts, piece)), tail))
-    out = joined.withColumn("text", text)
-    if "n_chars" in docs.columns:
+    out = rows.withColumn("text", text)
+    if "n_chars" in columns:
         out = out.withColumn("n_chars", F.when(F.col(cuts).isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
-    return out.select(*docs.columns)
+    return out.select(*columns)
