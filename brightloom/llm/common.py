@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +34,33 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def noted() -> Iterator[list[str]]:
+    """The paths of the tables that are cut inside, for ``release`` once what reads them is written."""
+    paths: list[str] = []
+    _scopes.append(paths)
+    try:
+        yield paths
+    finally:
+        _scopes.remove(paths)
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Delete cut tables and forget their paths."""
+    while paths:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(paths.pop())
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write ``df`` to a table in the shared folder and read it again: lineage ends there, so a lost
     executor costs no more than the tasks after it."""
     path = new_path(df.sparkSession, name)
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from brightloom.llm import packing, pii, quality, simhash
-from brightloom.llm.common import cut, table
+from brightloom.llm.common import cut, noted, release, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +40,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on ``documents``; each stage's rows are written and read again before the next."""
     docs = table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = cut(docs, name.replace(" ", "-"))
-    return docs
+    for name, stage in STAGES[:-1]:
+        with noted() as used:
+            out = stage(spark, docs, sf_dir)
+        docs = cut(out, name.replace(" ", "-"))
+        release(spark, used)  # what the stage cut for its own use; its rows are written now
+    return STAGES[-1][1](spark, docs, sf_dir)
