@@ -214,7 +214,7 @@ def _spanning(near: np.ndarray, p: np.ndarray, r: np.ndarray) -> tuple[np.ndarra
     return np.concatenate(from_), np.concatenate(to)
 
 
-def links(fps: DataFrame, bits: int = MAX_BITS) -> DataFrame:
+def links(fps: DataFrame, bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
     """``a, b``: links at up to ``bits`` differing bits that connect all distinct values of ``fp`` that
     such links connect. fps: distinct, already written (it is read several times)."""
     spark = fps.sparkSession
@@ -240,35 +240,38 @@ def links(fps: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     for g in range(parts):
         own = table[table["part"] == g]
         histograms[g][own["value"].to_numpy()] = own["n"].to_numpy()
-    shared = spark.sparkContext.broadcast(histograms)
+    # How many probes a value may get: those of its own fingerprints and of the values one bit away
+    # (farther probes are rare: thresholds over 1 cost hundreds of look-ups each).
+    reach = [h + sum((h[np.arange(len(h)) ^ (1 << b)] for b in range(keep[g])), np.zeros_like(h)) for g, h in enumerate(histograms)]
+    shared = spark.sparkContext.broadcast((histograms, reach))
     masks = [_masks(len(g), bits) for g in groups]
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Index rows (kind 0) in every part and probe rows (kind 1) within the thresholds, dealt to
-        blocks: a row of block i meets all blocks of the other kind."""
+        blocks of each kind: a row of a block meets all blocks of the other kind."""
+        histograms, reach = shared.value
         for batch in batches:
             fps = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for at in range(0, len(fps), 1 << 13):
                 own = fps[at : at + (1 << 13)]
                 values = _values(own, groups)
-                near = thresholds(values, groups, shared.value, bits)
+                near = thresholds(values, groups, histograms, bits)
                 salt = (own.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64)
                 for g in range(parts):
-                    counts = shared.value[g]
+                    counts, low = histograms[g], (1 << keep[g]) - 1
                     rows = [(0, np.arange(len(own)), values[:, g])]
                     for t in range(bits + 1):
                         who = np.flatnonzero(near[:, g] >= t)
                         for m in masks[g][t].tolist() if len(who) else ():
                             rows.append((1, who, values[who, g] ^ m))
                     for kind, who, value in rows:
-                        # Probes of a value are about as many as its rows, as they are its neighbours.
-                        blocks = np.minimum(4095, 1 + counts[value & ((1 << keep[g]) - 1)] // BLOCK)
                         if kind:
-                            hit = counts[value & ((1 << keep[g]) - 1)] > 0
-                            who, value, blocks = who[hit], value[hit], blocks[hit]
-                        mine = salt[who] % blocks
-                        again = np.repeat(np.arange(len(who)), blocks)
-                        other = np.arange(len(again)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+                            hit = counts[value & low] > 0
+                            who, value = who[hit], value[hit]
+                        blocks = [np.minimum(4095, 1 + n[value & low] // block) for n in (counts, reach[g])]
+                        mine, copies = salt[who] % blocks[kind], blocks[1 - kind]
+                        again = np.repeat(np.arange(len(who)), copies)
+                        other = np.arange(len(again)) - np.repeat(np.cumsum(copies) - copies, copies)
                         left, right = (mine[again], other) if kind == 0 else (other, mine[again])
                         key = (value[again] * parts + g) << 24 | left << 12 | right
                         yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(np.full(len(again), kind), pa.int8()), pa.array(own[who[again]], pa.int64())], names=["key", "kind", "fp"])
@@ -293,10 +296,10 @@ def links(fps: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     return ordered.mapInArrow(verified, "a long, b long")
 
 
-def classes_of(own: DataFrame, bits: int = MAX_BITS) -> DataFrame:
+def classes_of(own: DataFrame, bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
     """``fp, root`` for every distinct fingerprint of ``own``; fingerprints of a component share a root."""
     classes = cut(own.select("fp").distinct(), "classes")
-    roots = components(links(classes, bits))
+    roots = components(links(classes, bits, block))
     return classes.join(roots, classes.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 

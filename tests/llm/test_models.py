@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 import xxhash
 from conftest_llm import AWKWARD, plain
 from pyspark.sql import functions as F
@@ -157,7 +158,8 @@ def test_near_duplicates(spark, awkward, documents, empty):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.one_of_each(empty).count() == 0
 
 
-def test_links_within_dense_and_far_values(spark):
+@pytest.mark.parametrize("block", [16, simhash.BLOCK])
+def test_links_within_dense_and_far_values(spark, block):
     rng = np.random.default_rng(5)
     centre = rng.integers(0, 2**63, 4, dtype=np.int64)
     fps = set(centre.tolist())
@@ -168,7 +170,7 @@ def test_links_within_dense_and_far_values(spark):
                 x ^= 1 << b
             fps.add(x)
     df = spark.createDataFrame([(x,) for x in fps], "fp long")
-    roots = {r.fp: r.root for r in simhash.classes_of(df).collect()}
+    roots = {r.fp: r.root for r in simhash.classes_of(df, block=block).collect()}
     want = plain_components(fps)
     groups, expect = {}, {}
     for x in fps:
