@@ -6,7 +6,7 @@ Rules and word lists are parameters; the defaults are clinical-guideline lists.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
@@ -19,6 +19,12 @@ def col(c: Text) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once per row, however often ``body`` names it; columns put
+    into each other directly would repeat it, and chains of rules would grow exponentially."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Text, characters: str = EDGE) -> Column:
     """Trim any of ``characters`` from both ends."""
     return F.btrim(col(c), F.lit(characters))
@@ -169,23 +175,26 @@ def sentences(c: Text, ends: str = ".!?;", protect: bool = False) -> Column:
 def finalize_statement(c: Text, pattern: str = ACTIONABLE) -> Column:
     """Clean, cut at the first marker of supporting text after 40 characters, then the first
     sentence that recommends, else the first."""
-    text = clean_statement(c)
-    cut = text
-    for marker in reversed(TAIL_MARKERS):
-        before = F.regexp_extract(text, rf"(?s)^(.*?)(?:{marker})", 1)
-        cut = F.when(F.length(before) > 40, strip(before, " ;,.-")).otherwise(cut)
-    parts = F.filter(F.transform(sentences(cut, ".?!"), lambda s: strip(s, " ;,.-")), lambda s: s != "")
-    first = F.get(F.filter(parts, lambda s: recommends(s, pattern)), F.lit(0))
-    return clean_statement(F.coalesce(first, F.get(parts, F.lit(0)), cut))
+
+    def shorten(text: Column) -> Column:
+        before = [F.regexp_extract(text, rf"(?s)^(.*?)(?:{marker})", 1) for marker in TAIL_MARKERS]
+        return F.coalesce(*[bind(x, lambda b: F.when(F.length(b) > 40, strip(b, " ;,.-"))) for x in before], text)
+
+    def choose(cut: Column) -> Column:
+        parts = F.filter(F.transform(sentences(cut, ".?!"), lambda s: strip(s, " ;,.-")), lambda s: s != "")
+        return bind(parts, lambda p: F.coalesce(F.get(F.filter(p, lambda s: recommends(s, pattern)), F.lit(0)), F.get(p, F.lit(0)), cut))
+
+    return clean_statement(bind(bind(clean_statement(c), shorten), choose))
 
 
 def select_statements(c: Text, pattern: str = ACTIONABLE, most: int = 24) -> Column:
     """Up to 24 sentences that recommend, else the first five, else the first 240 characters."""
-    flat = collapse(c)
-    parts = F.transform(sentences(flat), lambda s: finalize_statement(s, pattern))
-    good = F.filter(parts, lambda s: recommends(s, pattern))
-    filled = F.filter(parts, lambda s: s != "")
-    return F.when(F.size(good) > 0, F.slice(good, 1, most)).when(F.size(filled) > 0, F.slice(filled, 1, 5)).otherwise(F.array(F.substring(flat, 1, 240)))
+
+    def choose(flat: Column, parts: Column) -> Column:
+        good, filled = F.filter(parts, lambda s: recommends(s, pattern)), F.filter(parts, lambda s: s != "")
+        return bind(good, lambda g: F.when(F.size(g) > 0, F.slice(g, 1, most)).when(F.size(filled) > 0, F.slice(filled, 1, 5)).otherwise(F.array(F.substring(flat, 1, 240))))
+
+    return bind(collapse(c), lambda flat: bind(F.transform(sentences(flat), lambda s: finalize_statement(s, pattern)), lambda parts: choose(flat, parts)))
 
 
 #: Fixed values (T14): classes of recommendation and levels of evidence.
@@ -223,8 +232,7 @@ def inline_grades(c: Text) -> Column:
 
 def acceptable(c: Text, pattern: str = ACTIONABLE) -> Column:
     """24 to 900 characters, no question, no policy noise, and it recommends."""
-    text = col(c)
-    return F.length(text).between(24, 900) & ~F.contains(text, F.lit("?")) & ~policy_noise(text) & recommends(text, pattern)
+    return bind(col(c), lambda text: F.length(text).between(24, 900) & ~F.contains(text, F.lit("?")) & ~policy_noise(text) & recommends(text, pattern))
 
 
 #: Fixed values (T22): wording of journals' and societies' notices.
