@@ -73,10 +73,10 @@ def source_priority_merge(t: Tables) -> DataFrame:
     return linkage.priority_merge(t.events, "user_id", "event_id", ["event_type", "props"], last=["props"])
 
 
-@R.add("""SELECT s_nationkey AS nationkey, 'missing' AS problem FROM supplier EXCEPT SELECT c_nationkey, 'missing' FROM customer UNION (SELECT c_nationkey, 'unexpected' FROM customer EXCEPT SELECT s_nationkey, 'unexpected' FROM supplier)""")
+@R.add("""WITH need AS (SELECT s_nationkey AS nationkey FROM supplier WHERE s_acctbal >= 5000), have AS (SELECT c_nationkey AS nationkey FROM customer WHERE c_acctbal >= 9500) SELECT nationkey, 'missing' AS problem FROM (FROM need EXCEPT FROM have) UNION ALL SELECT nationkey, 'unexpected' FROM (FROM have EXCEPT FROM need)""")
 def set_coverage(t: Tables) -> DataFrame:
     """D09."""
-    return linkage.coverage(t.supplier.select(F.col("s_nationkey").alias("nationkey")), t.customer.select(F.col("c_nationkey").alias("nationkey")), "nationkey")
+    return linkage.coverage(t.supplier.where("s_acctbal >= 5000").select(F.col("s_nationkey").alias("nationkey")), t.customer.where("c_acctbal >= 9500").select(F.col("c_nationkey").alias("nationkey")), "nationkey")
 
 
 @R.add("SELECT o_orderkey, round(CASE WHEN abs(y - 1995) = 0 THEN 0.15 ELSE greatest(0.0, 0.1 - 0.03 * abs(y - 1995)) END, 4) AS bonus FROM (SELECT o_orderkey, year(o_orderdate) AS y FROM orders)")
@@ -142,10 +142,10 @@ def token_search_rank(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", score.cast("long").alias("score")).where("score > 0")
 
 
-@R.add("""SELECT p_partkey, CASE WHEN starts_with(lower(p_name), 'part') THEN 55 WHEN contains(lower(p_name), 'part') THEN 34 ELSE 16 END + CASE WHEN lower(p_name) = 'part' THEN 180 WHEN starts_with(lower(p_name), 'part') THEN 30 ELSE 0 END + least(p_size, 200) / 20 AS score FROM part WHERE contains(lower(p_name || ' ' || p_type), 'part')""")
+@R.add("""SELECT p_partkey, CASE WHEN starts_with(lower(p_name), 'widget') THEN 55 WHEN contains(lower(p_name), 'widget') THEN 34 ELSE 16 END + CASE WHEN lower(p_name) = 'widget' THEN 180 WHEN starts_with(lower(p_name), 'widget') THEN 30 ELSE 0 END + least(p_size, 200) / 20 AS score FROM part WHERE contains(lower(p_name || ' ' || p_type), 'widget')""")
 def browser_search(t: Tables) -> DataFrame:
     """M18, M19."""
-    score = scoring.browser_score(F.col("p_name"), F.lower(F.concat_ws(" ", "p_name", "p_type")), F.array(F.lit("part")), F.lit("part"), F.lit(False), F.col("p_size"))
+    score = scoring.browser_score(F.col("p_name"), F.lower(F.concat_ws(" ", "p_name", "p_type")), F.array(F.lit("widget")), F.lit("widget"), F.lit(False), F.col("p_size"))
     return t.part.select("p_partkey", score.alias("score")).where("score IS NOT NULL")
 
 
@@ -243,11 +243,11 @@ def recursive_hierarchy(t: Tables) -> DataFrame:
     return terminology.descendants(a.unionByName(b), roots).select("node", F.col("depth").cast("long").alias("depth"))
 
 
-@R.add("SELECT 'PART::' || p_partkey AS id, p_type || ': ' || p_name AS label FROM part WHERE contains(lower(p_name), '7') ORDER BY id, label LIMIT 50")
+@R.add("SELECT 'PART::' || p_partkey AS id, p_type || ': ' || p_name AS label FROM part WHERE contains(lower(p_name), 'widget') ORDER BY id, label LIMIT 50")
 def code_search(t: Tables) -> DataFrame:
     """K09."""
     terms = t.part.select(tx.joined_id(F.lit("PART"), "p_partkey").alias("id"), F.concat_ws(": ", "p_type", "p_name").alias("label"), "p_name")
-    return terms.where(F.contains(F.lower("p_name"), F.lit("7"))).orderBy("id", "label").limit(50).select("id", "label")
+    return terms.where(F.contains(F.lower("p_name"), F.lit("widget"))).orderBy("id", "label").limit(50).select("id", "label")
 
 
 @R.add("""SELECT 'CUST::' || c_custkey || '::is-a::' || c_nationkey AS id, 'CUST::' || c_custkey AS source_concept_id, 'CUST::' || c_nationkey AS target_concept_id FROM customer""")
@@ -311,7 +311,7 @@ def event_sessions(t: Tables) -> DataFrame:
     return windows.sessions(t.events, "ts", "user_id").groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("n").alias("events"))
 
 
-@R.add("SELECT doc_id, n, sum(n) OVER (PARTITION BY source ORDER BY doc_id) AS running FROM (SELECT doc_id, source, length(text) - length(replace(text, chr(10), '')) + 1 AS n FROM documents)")
+@R.add("SELECT doc_id, n, CAST(sum(n) OVER (PARTITION BY source ORDER BY doc_id) AS BIGINT) AS running FROM (SELECT doc_id, source, length(text) - length(replace(text, chr(10), '')) + 1 AS n FROM documents)")
 def line_numbers(t: Tables) -> DataFrame:
     """Lines of each document and the running count in its source."""
     rows = t.documents.select("doc_id", "source", tx.line_of("text", F.length("text")).cast("long").alias("n"))

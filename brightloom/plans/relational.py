@@ -28,10 +28,10 @@ def equality_filters(t: Tables) -> DataFrame:
     return op.equals_ignoring_case(t.part, p_brand="BRAND#1", p_type="promo", p_name=None).select("p_partkey", "p_name")
 
 
-@R.add("SELECT p_partkey, p_name FROM part WHERE lower(p_name) LIKE '%1%' OR lower(p_type) LIKE '%1%'")
+@R.add("SELECT p_partkey, p_name FROM part WHERE lower(p_name) LIKE '%ring%' OR lower(p_type) LIKE '%ring%'")
 def catalog_search(t: Tables) -> DataFrame:
     """F02."""
-    return op.search_columns(t.part, "1", ["p_name", "p_type"]).select("p_partkey", "p_name")
+    return op.search_columns(t.part, "Ring", ["p_name", "p_type"]).select("p_partkey", "p_name")
 
 
 @R.add("SELECT p_partkey, (SELECT count(*) FROM part) AS total FROM part ORDER BY lower(p_name), p_partkey LIMIT 25 OFFSET 50")
@@ -99,10 +99,10 @@ def semi_topics(t: Tables) -> DataFrame:
     return op.with_matching(t.orders.where("o_orderstatus = 'F'"), topics, "o_orderpriority").select("o_orderkey")
 
 
-@R.add("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@R.add("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 def anti_required(t: Tables) -> DataFrame:
     """J07, J12."""
-    return op.without_matching(t.customer, t.orders.select(F.col("o_custkey").alias("c_custkey")), "c_custkey").select("c_custkey")
+    return op.without_matching(t.customer, t.orders.where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey").select("c_custkey")
 
 
 @R.add("""SELECT p_partkey, CASE WHEN lower(p_type) LIKE '%promo%' THEN 'offer' WHEN lower(p_type) LIKE '%ec%' THEN 'economy' WHEN lower(p_type) LIKE '%s%' THEN 'other' END AS label FROM part""")
