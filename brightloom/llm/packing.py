@@ -18,7 +18,7 @@ from bisect import bisect_left, insort
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import arrow_pass, cut
+from .common import arrow_pass, cut, free
 from .encoding import pieces, tokenizer_path
 
 CAPACITY = 2048
@@ -87,22 +87,25 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to rows with ``doc_id, piece, length, ids_crc32``.
 
     ``length`` lies in 1..capacity. Equal rows are told apart by rank only, which is harmless: they are
-    interchangeable. An empty table gives an empty result.
+    interchangeable. An empty table gives an empty result. Columns that ``items`` has already by the names of
+    the new ones are replaced; all others stay.
     """
     spark = items.sparkSession
+    items = items.drop("sequence_id", "offset")
+    salt, rank, before = free(items, "_salt", "_rank", "_before")
     salts = min(4096, max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    salted = items.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
-    groups = cut(salted.groupBy("length", "_salt").count(), "sizes")
-    counts = {int(r["length"]): int(r["n"]) for r in groups.groupBy("length").agg(F.sum("count").alias("n")).collect()}
-    before = F.sum("count").over(Window.partitionBy("length").orderBy("_salt")) - F.col("count")
-    groups = groups.select("length", "_salt", before.alias("_before"))
-    within = F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32"))
-    ranked = salted.withColumn("_rank", within - 1).join(groups, ["length", "_salt"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
+    salted = items.withColumn(salt, F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
+    groups = cut(salted.groupBy("length", salt).agg(F.count("*").alias("n")), "sizes")
+    counts = {int(r["length"]): int(r["n"]) for r in groups.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    earlier = F.sum("n").over(Window.partitionBy("length").orderBy(salt)) - F.col("n")
+    groups = groups.select("length", salt, earlier.alias(before))
+    within = F.row_number().over(Window.partitionBy("length", salt).orderBy("doc_id", "piece", "ids_crc32"))
+    ranked = salted.withColumn(rank, within - 1).join(groups, ["length", salt]).withColumn(rank, F.col(rank) + F.col(before))
     plan = spark.createDataFrame(sweep(counts, capacity), "length long, lo long, hi long, each long, first long, base long")
     p, r = plan.alias("p"), ranked.alias("r")
     # The plan has a few rows for each size, whatever the number of documents.
-    placed = r.join(F.broadcast(p), (F.col("r.length") == F.col("p.length")) & (F.col("r._rank") >= F.col("p.lo")) & (F.col("r._rank") < F.col("p.hi")))
-    turn = F.col("r._rank") - F.col("p.lo")
+    placed = r.join(F.broadcast(p), (F.col("r.length") == F.col("p.length")) & (F.col(f"r.{rank}") >= F.col("p.lo")) & (F.col(f"r.{rank}") < F.col("p.hi")))
+    turn = F.col(f"r.{rank}") - F.col("p.lo")
     return placed.select(
         *[F.col(f"r.{c}") for c in items.columns],
         (F.col("p.first") + F.floor(turn / F.col("p.each"))).alias("sequence_id"),

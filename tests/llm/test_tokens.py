@@ -161,3 +161,13 @@ def test_pack_documents(awkward, documents, libraries, empty):
         assert plain((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == plain(want)
         assert n == best_fit_decreasing([w[3] for w in want], 2048)
     assert packing.pack_documents(empty).count() == 0
+
+
+def test_pack_keeps_columns_of_clashing_names(spark):
+    rows = [(i, 0, 1 + i % 7, i, f"a{i}", i, i, -1) for i in range(60)] + [(None, 0, 3, 9, None, None, None, -1)] * 3
+    items = spark.createDataFrame(rows, "doc_id long, piece int, length long, ids_crc32 long, _salt string, _rank long, lo long, offset long")
+    got = packing.pack(items, 10)
+    assert sorted(got.columns) == sorted([*items.columns, "sequence_id"])
+    done = got.collect()
+    check_packing(done, 10)
+    assert {(r.doc_id, r["_salt"], r["_rank"], r.lo) for r in done} == {(r[0], r[4], r[5], r[6]) for r in rows}
