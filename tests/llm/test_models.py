@@ -111,6 +111,15 @@ def test_automaton(awkward, documents, empty):
     assert automaton.score_documents(empty).count() == 0
 
 
+def test_automaton_scores_what_is_not_broadcast(spark, documents, monkeypatch):
+    """The broadcast part is a cache: however small it is, scores are those of all words and pairs."""
+    want = plain((r.doc_id, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in automaton.score_documents(documents).collect())
+    for name, value in (("WORD_SHARE", 1e-3), ("ARC_SHARE", 1e-2), ("STATE_SHARE", 1e-2), ("CACHED_ARCS", 50)):
+        monkeypatch.setattr(automaton, name, value, raising=False)
+    got = automaton.score_documents(documents).collect()
+    assert plain((r.doc_id, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in got) == want
+
+
 def plain_fingerprint(text):
     words = (text or "").encode().lower().split()
     shingles = [b" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([b" ".join(words)] if words else [])
