@@ -1,7 +1,8 @@
 """Main text of web pages by consensus of host paths.
 
-Each page scores its containers by the text that stands in them and outside links and furniture. Its
-best containers vote, by generalised path (tags and classes from the body down, digits folded), and Spark
+Each page scores its containers by the text that stands in them and outside links and furniture. What a
+container scores counts for the whole that it is part of: the outermost article or main part, or else the
+lowest node with nearly all text and the first headline. The best of these vote, by generalised path (tags and classes from the body down, digits folded), and Spark
 adds the votes up by host. Every page is then extracted again from the host's best-voted path that it
 has, so that a page with little text follows its siblings; a page without a host, or with none of the
 winning paths, keeps its own best container.
@@ -22,6 +23,9 @@ VOTES, WINNERS = 3, 5
 #: get the winners by broadcast and are dealt out evenly, over SALTS keys.
 HOT_SHARE, SALTS = 0.01, 1024
 
+#: This share of a page's unlinked text is nearly all of it.
+NEARLY = 0.9
+
 # HTML's own tag classes.
 BLOCKS = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTAINERS = set("article body center dd div fieldset main section td".split())
@@ -41,6 +45,8 @@ _token = re.compile(
     re.S | re.I,
 )
 _attribute = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+#: Classes such as with-sidebar or has-banner say what stands in a node or beside it, not what it is.
+_beside = re.compile(r"(?<!\S)(?:has|have|with|without|no)[-_]\S*", re.I)
 _word = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _host = re.compile(r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/:?#\s]+)")
 
@@ -54,7 +60,11 @@ class Page:
     def __init__(self, source: str) -> None:
         self.nodes: list[tuple[int, str, str, bool]] = [(-1, "body", "body", False)]
         self.blocks: list[tuple[int, str, int]] = []
+        #: Nodes that are furniture by their words only, and those by tag or as hidden.
+        self.worded: set[int] = set()
+        self.sure: set[int] = set()
         self._parse(source)
+        self._settle()
 
     def _parse(self, source: str) -> None:
         stack, parts, at, in_link, link_chars = [0], [], 0, False, 0
@@ -111,7 +121,7 @@ class Page:
                     pop(*ENDS[tag])
                 if tag in ("html", "body", "hr"):
                     continue
-                nodes.append(self._node(stack[-1], tag, m["attributes"]))
+                self._node(stack[-1], tag, m["attributes"])
                 stack.append(len(nodes) - 1)
             elif not in_link and tag in ("img", "input"):
                 parts.append(" ")
@@ -120,22 +130,66 @@ class Page:
         parts.append(rest[: cut.start()] if cut else rest)
         flush()
 
-    def _node(self, parent: int, tag: str, attributes: str) -> tuple[int, str, str, bool]:
-        label, furniture = tag, tag in FURNITURE
+    def _node(self, parent: int, tag: str, attributes: str) -> None:
+        label, sure, worded = tag, tag in FURNITURE, False
         if tag == "header":
-            furniture = not self._inside(parent, {"article", "main"})
+            sure = not self._inside(parent, {"article", "main"})
         if attributes and "=" in attributes or "hidden" in attributes:
             for name, a, b, c in _attribute.findall(attributes):
                 value = a or b or c
                 if name.lower() == "class":
                     label += "".join("." + re.sub(r"\d+", "9", x) for x in sorted(value.lower().split()))
                 if name.lower() == "hidden" or (name.lower() == "aria-hidden" and value == "true"):
-                    furniture = True
-                elif not furniture and any(w.lower() in FURNITURE_WORDS for w in _word.findall(value)):
-                    furniture = True
+                    sure = True
+                elif not worded and any(w.lower() in FURNITURE_WORDS for w in _word.findall(_beside.sub("", value))):
+                    worded = True
         if tag in ("article", "main") and not self._inside(parent, {"article"}):
-            furniture = furniture and "comment" in label
-        return parent, tag, label, furniture or self.nodes[parent][3]
+            sure, worded = sure and "comment" in label, worded and "comment" in label
+        if sure:
+            self.sure.add(len(self.nodes))
+        elif worded:
+            self.worded.add(len(self.nodes))
+        self.nodes.append((parent, tag, label, False))
+
+    def _below(self, marked: set[int]) -> list[bool]:
+        """Which nodes are one of ``marked`` or stand below one."""
+        out: list[bool] = []
+        for i, node in enumerate(self.nodes):
+            out.append(i in marked or node[0] >= 0 and out[node[0]])
+        return out
+
+    def _worth(self, use: list[bool]) -> list[int]:
+        """Characters outside links below each node, of blocks in the nodes ``use``."""
+        out = [0] * len(self.nodes)
+        for node, text, linked in self.blocks:
+            if use[node]:
+                out[node] += len(text) - linked
+        for i in range(len(out) - 1, 0, -1):
+            out[self.nodes[i][0]] += out[i]
+        return out
+
+    def _settle(self) -> None:
+        """Furniture passes down. Words alone make no furniture of a node that holds most text of the
+        page's articles (main parts, if there is no article; all text, if there is neither), or nearly all
+        text of the page, or articles, where all articles would be lost."""
+        if self.worded:
+            sure = self._below(self.sure)
+            all_ = self._worth([not x for x in sure])
+            inside, held = [False] * len(sure), all_
+            for tag in ("article", "main"):
+                below = self._below({i for i, n in enumerate(self.nodes) if n[1] == tag and i not in self.worded})
+                own = self._worth([a and not b for a, b in zip(below, sure, strict=True)])
+                if own[0]:
+                    inside, held = below, own
+                    break
+            if all_[0]:
+                self.worded -= {i for i in self.worded if not inside[i] and 2 * held[i] > held[0] or all_[i] >= NEARLY * all_[0]}
+            if held is not all_:
+                lost = self._below(self.worded | self.sure)
+                if not self._worth([a and not b for a, b in zip(inside, lost, strict=True)])[0]:
+                    self.worded -= {i for i in self.worded if not inside[i] and held[i]}
+        lost = self._below(self.worded | self.sure)
+        self.nodes = [(*n[:3], x) for n, x in zip(self.nodes, lost, strict=True)]
 
     def _inside(self, node: int, tags: set[str]) -> bool:
         while node >= 0:
@@ -166,11 +220,37 @@ class Page:
                 node = self.nodes[node][0]
         return {n: s * (1.5 if self.nodes[n][1] in ("article", "main") else 0.3 if n == 0 else 1.0) for n, s in out.items() if s > 0}
 
+    def _wholes(self) -> list[int]:
+        """For each node, the outermost article or main part that it stands in, or else the lowest node
+        above that has nearly all text and the first headline."""
+        worth = self._worth([not n[3] for n in self.nodes])
+        title = next((i for i, n in enumerate(self.nodes) if n[1] == "h1" and not n[3] and worth[i]), 0)
+        over = {0}
+        while title > 0:
+            over.add(title)
+            title = self.nodes[title][0]
+        if len(over) == 1:
+            over = set(range(len(self.nodes)))
+        out: list[int] = []
+        article: list[bool] = []
+        for i, (parent, tag, _, furniture) in enumerate(self.nodes):
+            above = out[parent] if parent >= 0 else 0
+            article.append(parent >= 0 and article[parent] or tag in ("article", "main") and not furniture)
+            if parent >= 0 and article[parent]:
+                out.append(above)
+            elif article[i] or (tag in CONTAINERS and i in over and worth[i] >= NEARLY * worth[0]):
+                out.append(i)
+            else:
+                out.append(above)
+        return out
+
     def best(self) -> list[tuple[str, float]]:
-        """The best paths with their scores; nodes of one path add up."""
+        """The best paths with their scores; nodes of one whole, and wholes of one path, add up."""
         sums: dict[str, float] = {}
-        for node, score in self.scores().items():
-            path = self.path(node)
+        scores = self.scores()
+        wholes = self._wholes() if scores else []
+        for node, score in scores.items():
+            path = self.path(wholes[node])
             sums[path] = sums.get(path, 0.0) + score
         return sorted(sums.items(), key=lambda x: (-x[1], x[0]))[:VOTES]
 

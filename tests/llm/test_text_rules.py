@@ -160,3 +160,16 @@ def test_a_page_follows_its_host(spark):
     rows = [(i, f"http://h.c/{i}", article.format(i=i, a="long story " * 30, b="short")) for i in range(5)] + [(9, "http://h.c/9", article.format(i=9, a="brief", b="an odd long box " * 9))]
     got = {r.page_id: r.text for r in hostpaths.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[9] == "brief"
+
+
+def test_all_of_an_article_is_extracted(spark):
+    body, lead = "body text " * 30, "lead text " * 9
+    want = "\n".join(["Title", " ".join(lead.split()), " ".join(body.split())])
+    inner = f'<h1>Title</h1><div class="lead"><p>{lead}</p></div><div class="body"><p>{body}</p></div>'
+    shapes = [f"<article>{inner}</article>", f"<main><article>{inner}</article></main>", f'<div class="post">{inner}</div>']
+    shapes += [f'<div class="{c}">{shape}</div>' for shape in shapes[:3] for c in ("with-sidebar", "has-banner", "banner-layout")]
+    shapes += [f'<main><div class="sidebar-right">{inner}</div></main>']
+    rest = '<div class="comments"><p>{}</p></div><div class="sidebar"><article><p>Teaser</p></article></div>'.format("a reader says " * 9)
+    rows = [(i, f"http://h{i}.c/", f"<body><nav>Menu</nav>{shape}{rest if i < 2 else ''}</body>") for i, shape in enumerate(shapes)]
+    got = {r.page_id: r.text for r in hostpaths.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == dict.fromkeys(range(len(rows)), want)
