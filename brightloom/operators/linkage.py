@@ -155,10 +155,12 @@ def erratum_penalty(title: Column) -> Column:
     return F.size(F.filter(F.array(*map(F.lit, ERRATA)), lambda w: F.contains(F.lower(title), w))) * F.lit(-0.4)
 
 
-def dice_pairs(left: DataFrame, right: DataFrame, key: str, other: str, least: float, shared: int = 1) -> DataFrame:
+def dice_pairs(left: DataFrame, right: DataFrame, key: str, other: str, least: float) -> DataFrame:
     """D10 as a join: pairs of (id, tokens) whose Dice similarity reaches ``least``, by an inverted index
     with prefix filtering: of n tokens, only the n - ceil(least / (2 - least) * n) + 1 rarest can be the
-    first that a similar pair shares, so frequent tokens drop out of the join."""
+    first that a similar pair shares, so frequent tokens drop out of the join. ``least`` is taken lower there
+    by what the result is rounded by, so that the prefix errs to the long side."""
+    low = least - 1e-6
     def ranked(df: DataFrame, name: str) -> DataFrame:
         return df.select(F.col(name), F.explode("tokens").alias("t"))
 
@@ -167,7 +169,7 @@ def dice_pairs(left: DataFrame, right: DataFrame, key: str, other: str, least: f
     def prefix(df: DataFrame, name: str) -> DataFrame:
         sorted_ = ranked(df, name).join(freq, "t").groupBy(name).agg(F.array_sort(F.collect_list(F.struct("f", "t")))["t"].alias("s"))
         n = F.size("s")
-        keep = n - F.ceil(F.lit(least / (2 - least)) * n).cast("int") + 1
+        keep = n - F.ceil(F.lit(low / (2 - low)) * n).cast("int") + 1
         return sorted_.select(name, F.explode(F.slice("s", F.lit(1), F.greatest(keep, F.lit(1)))).alias("t"))
 
     pairs = prefix(left, key).join(prefix(right, other), "t").select(key, other).distinct()

@@ -131,3 +131,11 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
     want = windows.tumbling_counts(batch, "ts", "event_type")
     got = spark.table("counted")
     assert got.count() == want.count() and got.exceptAll(want.select(*got.columns)).agg(F.sum("n")).first()[0] in (None, 0)
+
+
+def test_dice_pairs_at_the_threshold(spark):
+    """All 15 words of an item are the most frequent of another's 85, so their Dice is 0.3 exactly."""
+    shared, own = [f"s{i:02}" for i in range(15)], [f"u{i:02}" for i in range(70)]
+    items = spark.createDataFrame([(1, shared + own), (2, shared)], "a long, tokens array<string>")
+    rows = linkage.dice_pairs(items, items.withColumnRenamed("a", "b"), "a", "b", 0.3).where("a < b").collect()
+    assert [tuple(r) for r in rows] == [(1, 2, 0.3)]
