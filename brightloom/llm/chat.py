@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from .common import between, chunked
 
 #: role -> (opening mark, closing mark). Other roles are written between the marks of OTHER.
 MARKS = {"system": ("<<SYS>>\n", "\n<</SYS>>\n\n"), "user": ("<s>[INST] ", " [/INST]"), "assistant": (" [OUT] ", " </s>")}
@@ -85,30 +87,30 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     rendered = plain.withColumn("escaped", suspicious & (controls | ~same)).select(
         "conv_id", "turn", "role", "text", "escaped",
         F.when(F.col("escaped"), _render(F.col("role"), escape(F.col("text")))).otherwise(F.col("plain")).alias("shown"))
-    one = rendered.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce(F.col("turn").cast("long"), F.lit(-(1 << 62))).alias("turn"), "role", "text", "escaped", "shown"))).alias("t"))
+    # Where each turn begins in the conversation, by a running sum; turns that tie are equal.
+    before = Window.partitionBy("conv_id").orderBy(F.coalesce(F.col("turn").cast("long"), F.lit(-(1 << 62))), "role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rendered.withColumn("at", F.coalesce(F.sum(F.char_length("shown").cast("long")).over(before), F.lit(0).cast("long")))
+    one = placed.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("at", "role", "text", "escaped", "shown"))).alias("t"))
+    opening, closing = (len(m) for m in MARKS[LOSS_ROLE])
+    masked = F.filter("t", lambda t: t["role"] == LOSS_ROLE)
     whole = one.select(
         "conv_id",
         F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"),
         F.concat_ws("", F.transform("t", lambda t: t["shown"])).alias("formatted"),
         F.size(F.filter("t", lambda t: t["escaped"])).alias("n_escaped"),
-        F.transform("t", lambda t: F.struct(t["role"].alias("role"), F.char_length(t["shown"]).alias("n"))).alias("sizes"),
+        F.transform(masked, lambda t: F.struct((t["at"] + opening).alias("start"), (F.char_length(t["shown"]) - (opening + closing)).cast("long").alias("length"))).alias("loss_spans"),
     ).withColumn("parsed", parse(F.col("formatted")))
-    opening, closing = (F.lit(len(m)) for m in MARKS[LOSS_ROLE])
-    spans = F.aggregate(
-        "sizes",
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans")),
-        lambda acc, s: F.struct(
-            (acc["at"] + s["n"]).alias("at"),
-            F.when(s["role"] == LOSS_ROLE, F.concat(acc["spans"], F.array(F.struct((acc["at"] + opening).alias("start"), (s["n"] - opening - closing).cast("long").alias("length"))))).otherwise(acc["spans"]).alias("spans")),
-        lambda acc: acc["spans"])
     checked = F.when(F.col("parsed") == F.col("turns"), F.col("parsed")).otherwise(F.raise_error(F.lit("a conversation doesn't read back as it was")))
-    return whole.select("conv_id", "formatted", "turns", checked.alias("parsed"), "n_escaped", spans.alias("loss_spans"))
+    return whole.select("conv_id", "formatted", "turns", checked.alias("parsed"), "n_escaped", "loss_spans")
 
 
 def chat_digests(turns: DataFrame) -> DataFrame:
-    """What reading ``formatted`` back gives: digests of all turns and of the text under the loss mask."""
-    done = format_conversations(turns)
-    loss = F.concat_ws("", F.transform(F.filter("parsed", lambda t: t["role"] == LOSS_ROLE), lambda t: t["text"]))
+    """What reading ``formatted`` back gives: digests of all turns, and of what stands in ``formatted``
+    under the loss mask, unescaped."""
+    done = format_conversations(turns).withColumn("chunks", chunked(F.col("formatted")))
+    under = F.transform("loss_spans", lambda s: unescape(between(F.col("chunks"), s["start"], s["length"])))
+    # The second mention of the pieces keeps Spark from cutting the text anew for each span.
+    loss = F.when(F.size("chunks") > 0, F.concat_ws("", under)).otherwise(F.lit(""))
     said = F.concat_ws("", F.transform("parsed", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))))
     return done.select(
         "conv_id", F.size("parsed").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -10,18 +9,15 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, from ``spark.checkpoint.dir``; only where that is unset
-    (tests on one machine) a temporary one, which is then set for the session."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that all executors share: ``spark.checkpoint.dir``, or else what the session's
+    checkpoint folder was set to. Without either nothing can be cut, and that is an error."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
-        if not folder:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="brightloom-"))
-            folder = spark.sparkContext.getCheckpointDir()
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return folder
 
 
@@ -80,6 +76,22 @@ def free(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+#: Code points of a piece of ``chunked``.
+CHUNK = 4096
+
+
+def chunked(text: Column) -> Column:
+    """The text in pieces of ``CHUNK`` code points, from which ``between`` reads places far into it."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+
+def between(chunks: Column, start: Column, length: Column) -> Column:
+    """``length`` code points from place ``start`` (from 0), in time of the length, wherever they stand."""
+    first = F.floor(start / CHUNK)
+    few = F.concat_ws("", F.slice(chunks, (first + 1).cast("int"), (F.floor((start + length - 1) / CHUNK) - first + 1).cast("int")))
+    return F.when(length > 0, F.substr(few, (start - first * CHUNK + 1).cast("int"), length.cast("int"))).otherwise(F.lit(""))
+
+
 def slices(batch: pa.RecordBatch, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows whose strings have about ``limit`` bytes, or one longer row; a task
     then holds the words of so much text at once, whatever Spark puts into a batch."""

@@ -3,7 +3,8 @@
 Both vocabularies merge inside pieces that never cross white space, so each distinct piece is encoded
 once per worker and then looked up. A missing piece is merged by tiktoken's core over the ranks of the
 same vocabulary file; tests hold the ids against the tokenizers library. A text that holds a special
-token's string goes to the tokenizers library as a whole. The lookup is cleared at ``CACHE_ENTRIES``
+token's string goes to the tokenizers library as a whole, and so does every ``CHECK_EVERY``-th new piece,
+where a difference is an error. The lookup is cleared at ``CACHE_ENTRIES``
 pieces, which bounds a worker's memory; it affects speed only.
 """
 
@@ -21,6 +22,8 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 CACHE_ENTRIES = 500_000
+#: Of the pieces that a worker merges, every so many-th is held against the tokenizers library.
+CHECK_EVERY = 256
 
 #: The pre-tokeniser patterns that the two vocabulary files name.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -88,6 +91,7 @@ class Pieces(dict):
 
         self.words, self.core, self.whole, self.special = _encoder(path)
         self.find = regex.compile(WORD_PATTERN).findall
+        self.met = 0
 
     def __missing__(self, piece: str) -> bytes:
         if recent(piece):
@@ -98,6 +102,9 @@ class Pieces(dict):
                 ids += single(word.encode() + END_BYTE)
         else:
             ids = self.core.encode_ordinary(piece)
+        self.met += 1
+        if self.met % CHECK_EVERY == 0 and ids != self.whole.encode(piece, add_special_tokens=False).ids:
+            raise ValueError(f"the libraries differ on {piece!r}")
         value = self[piece] = array("H", ids).tobytes()
         return value
 

@@ -25,7 +25,7 @@ from .encoding import pieces, tokenizer_path
 
 END_ID = 0
 SHARD_IDS = 1 << 21
-SAMPLE = 256
+SAMPLE = 64
 
 
 @dataclass
@@ -145,12 +145,13 @@ def read_tokens(spark: SparkSession, at: str) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 code = {name: EliasFano(*[row[f"{name}_{k}"] for k, _ in CODE]) for name in ("ends", "docs")}
-                ends = code["ends"].decode()
-                begins = np.concatenate([[0], ends[:-1]])
-                names = [None] * row["n_null"] + (code["docs"].decode() + row["first_doc"]).tolist()
-                ids = np.frombuffer(row["ids"], f"<u{row['id_bytes']}").astype("<u4", copy=False)
-                sums = [zlib.crc32(ids[a:b].data) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
-                n = len(ends)
+                # Each document is looked up by itself: its end, and the end before, by select().
+                n, end, name = code["ends"].n, code["ends"].select, code["docs"].select
+                ends = np.array([end(i) for i in range(n)], np.int64)
+                begins = np.array([end(i - 1) if i else 0 for i in range(n)], np.int64)
+                names = [None] * row["n_null"] + [name(i) + row["first_doc"] for i in range(code["docs"].n)]
+                ids = np.frombuffer(row["ids"], f"<u{row['id_bytes']}")
+                sums = [zlib.crc32(ids[a:b].astype("<u4").data) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in ((np.full(n, row["part"]), pa.int32()), (names, pa.int64()), (begins + row["part_start"], pa.int64()), (ends - begins, pa.int64()), (sums, pa.int64()))], names=["part", "doc_id", "start", "n_tokens", "ids_crc32"])
 
     read = shards.mapInArrow(run, "part int, doc_id long, start long, n_tokens long, ids_crc32 long")
