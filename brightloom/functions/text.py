@@ -237,6 +237,7 @@ def acceptable(c: Text, pattern: str = ACTIONABLE) -> Column:
 
 #: Fixed values (T22): wording of journals' and societies' notices.
 POLICY_WORDS = ["copyright", "permissions", "supplement", "appendix", "disclosures", "author affiliations"]
+JOURNALS = r"(?i)\b(j am coll cardiol|circulation|aha/acc|american heart association|american college of cardiology)\b"
 PEOPLE = r"(?i)\b(representative|writing committee|task force|chair|vice chair)\b"
 
 
@@ -247,9 +248,9 @@ def policy_noise(c: Text, words: Sequence[str] = POLICY_WORDS) -> Column:
 
 
 def noise_line(c: Text) -> Column:
-    """Short lines, numbers, addresses, downloads, notices."""
+    """Short lines, numbers, addresses, downloads, notices, names of journals and societies, headings."""
     low = F.lower(col(c))
-    return (F.length(low) < 3) | low.rlike(r"^\d+$|^http|doi:|^downloaded from") | policy_noise(c)
+    return (F.length(low) < 3) | low.rlike(r"^\d+$|^http|doi:|^downloaded from") | policy_noise(c) | low.rlike(JOURNALS) | heading(c)
 
 
 def structural_line(c: Text) -> Column:
@@ -373,6 +374,9 @@ def thresholds(c: Text, metrics: Sequence[str] = METRICS) -> Column:
 _adjectives = "(?:acute|chronic|stable|unstable|symptomatic|asymptomatic|pregnant|elderly|younger)"
 
 
+# The patterns of the clauses below are fixed values, too: wordings of guideline sentences.
+
+
 def patient_clause(c: Text) -> Column:
     """What follows "In patients" or "For stable patients", with the adjectives before it."""
     end = r"(?:,\s+|(?=\s+(?:cabg|pci|coronary\s+revascularization|surgical\s+revascularization|revascularization|the\s+use\s+of|an\s+assessment\s+of|a\s+multidisciplinary\s+heart\s+team\s+approach)\b))"

@@ -164,7 +164,7 @@ def facts(statements: DataFrame) -> DataFrame:
         tx.temporal_qualifiers(t).alias("times"), tx.time_window(t).alias("time_window"), tx.event_anchor(t).alias("event_anchor"), tx.thresholds(t).alias("thresholds"),
         tx.clinical_state(t).alias("clinical_state"), tx.exclusions(t).alias("exclusions"), tx.conditions(t).alias("conditions"), tx.first_label(t, tx.TOPICS, "General").alias("topic"))
     constraints = F.struct("time_window", "event_anchor", "thresholds", "conditions", "exclusions")
-    action = F.coalesce(F.concat_ws(" ", "intervention", F.when(F.col("text").rlike("(?i)should not be performed"), "should not be performed").when(F.col("text").rlike("(?i)should be performed"), "should be performed")), F.substring("text", 1, 120))
+    action = F.coalesce(F.nullif(F.concat_ws(" ", "intervention", F.when(F.col("text").rlike("(?i)should not be performed"), "should not be performed").when(F.col("text").rlike("(?i)should be performed"), "should be performed")), F.lit("")), F.substring("text", 1, 120))
     return out.withColumn("execution", F.struct(F.struct(F.col("population").alias("who"), constraints.alias("constraints")).alias("trigger"), action.alias("action")))
 
 

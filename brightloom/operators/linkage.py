@@ -2,25 +2,43 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as tx
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` written to the session's checkpoint folder, which all executors share, and read again."""
-    spark = df.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or tempfile.gettempdir()
-    path = f"{folder.rstrip('/')}/brightloom-tables/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``. Where that is unset, a
+    session on a local master (one machine, as in tests) gets a folder of its own; any other is an error."""
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="brightloom-"))
+        folder = context.getCheckpointDir()
+    return folder
+
+
+def new_path(spark: SparkSession) -> str:
+    """A new path in the shared folder, deleted when the driver's file systems close."""
+    path = f"{shared_folder(spark).rstrip('/')}/brightloom-tables/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder, and read again."""
+    path = new_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def exact(df: DataFrame, content: str, order: str) -> DataFrame:

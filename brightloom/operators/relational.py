@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
@@ -198,6 +200,32 @@ def set_digest(df: DataFrame, keys: Sequence[str], name: str, digest: str) -> Da
     return df.groupBy(*keys).agg(F.sha2(F.array_join(listed, ""), 256).alias("digest"))
 
 
+def streamed_digest(df: DataFrame, key: str, name: str, digest: str) -> DataFrame:
+    """A24 for groups of any size: ``key, digest``, the SHA-256 of ``name:digest`` of the group's rows by
+    name, with bars between. Sorted rows stream through a running hash, so a group takes time in one task
+    but no memory. Nulls are empty; ties are ordered by digest."""
+    kind = dict(df.dtypes)[key]
+    text = F.concat_ws(":", F.coalesce(F.col(name).cast("string"), F.lit("")), F.coalesce(F.col(digest), F.lit("")))
+    rows = df.select(F.col(key).alias("k"), F.col(name).alias("o"), text.alias("t")).repartition("k").sortWithinPartitions("k", "o", "t").select("k", "t")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, state = None, None
+        for batch in batches:
+            done = []
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if state is None or k != current:
+                    if state is not None:
+                        done.append((current, state.hexdigest()))
+                    current, state = k, hashlib.sha256(t.encode())
+                else:
+                    state.update(b"|" + t.encode())
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in done], batch.column(0).type), pa.array([d for _, d in done], pa.string())], names=["k", "digest"])
+        if state is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([current], batch.column(0).type), pa.array([state.hexdigest()], pa.string())], names=["k", "digest"])
+
+    return rows.mapInArrow(run, f"k {kind}, digest string").withColumnRenamed("k", key)
+
+
 def joined_set(c: Column | str, separator: str = "; ") -> Column:
     """Sorted distinct values as text."""
     return F.array_join(F.array_sort(F.collect_set(c)), separator)

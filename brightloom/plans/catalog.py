@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import documents, evidence, relational
+from . import documents, evidence, files, relational, rules
 from .base import Query
 
 
+MODULES = (relational, documents, evidence, rules, files)
+
+
 def queries() -> dict[str, Query]:
-    return relational.R.queries | documents.R.queries | evidence.R.queries
+    return {name: query for m in MODULES for name, query in m.R.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return relational.R.sql | documents.R.sql | evidence.R.sql
+    return {name: sql for m in MODULES for name, sql in m.R.sql.items()}

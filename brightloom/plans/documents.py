@@ -93,7 +93,7 @@ def sentence_split(t: Tables) -> DataFrame:
 
 @R.add("SELECT doc_id, regexp_extract(text, '-?\\d+(\\.\\d+)?') AS number, len(regexp_extract_all(text, '\\d+')) AS n FROM documents WHERE regexp_matches(text, '\\d')")
 def numbers_in_text(t: Tables) -> DataFrame:
-    """T28, T39."""
+    """Numbers in texts, as T28 and T39 read them."""
     return t.documents.where(F.col("text").rlike(r"\d")).select("doc_id", F.regexp_extract("text", r"-?\d+(\.\d+)?", 0).alias("number"), F.size(F.regexp_extract_all("text", F.lit(r"\d+"), F.lit(0))).cast("long").alias("n"))
 
 
@@ -111,7 +111,7 @@ def domain_tags(t: Tables) -> DataFrame:
 
 @R.add("SELECT p_partkey, trim(regexp_replace(lower(p_name || ' ' || p_type), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM part")
 def slugs(t: Tables) -> DataFrame:
-    """T01, T02, T03, T47."""
+    """T03."""
     return t.part.select("p_partkey", tx.slug(F.concat_ws(" ", "p_name", "p_type")).alias("slug"))
 
 
@@ -144,14 +144,14 @@ def token_search_rank(t: Tables) -> DataFrame:
 
 @R.add("""SELECT p_partkey, CASE WHEN starts_with(lower(p_name), 'widget') THEN 55 WHEN contains(lower(p_name), 'widget') THEN 34 ELSE 16 END + CASE WHEN lower(p_name) = 'widget' THEN 180 WHEN starts_with(lower(p_name), 'widget') THEN 30 ELSE 0 END + least(p_size, 200) / 20 AS score FROM part WHERE contains(lower(p_name || ' ' || p_type), 'widget')""")
 def browser_search(t: Tables) -> DataFrame:
-    """M18, M19."""
+    """M18."""
     score = scoring.browser_score(F.col("p_name"), F.lower(F.concat_ws(" ", "p_name", "p_type")), F.array(F.lit("widget")), F.lit("widget"), F.lit(False), F.col("p_size"))
     return t.part.select("p_partkey", score.alias("score")).where("score IS NOT NULL")
 
 
 @R.add("""SELECT o_orderkey, score, CASE WHEN score >= 0.85 THEN 'critical' WHEN score >= 0.7 THEN 'high' WHEN score >= 0.5 THEN 'moderate' ELSE 'emerging' END AS label FROM (SELECT o_orderkey, least(greatest(round(0.45 + CASE WHEN o_orderpriority = '1-URGENT' THEN 0.35 ELSE 0 END + CASE WHEN o_totalprice > 200000 THEN 0.1 ELSE 0 END - CASE WHEN o_orderstatus = 'P' THEN 0.1 ELSE 0 END, 2), 0.05), 1.0) AS score FROM orders)""")
 def weighted_score(t: Tables) -> DataFrame:
-    """Additive rules, clamped, with tiers."""
+    """Additive rules, clamped, with tiers, as M01 and M02 use them."""
     rules = [(F.col("o_orderpriority") == "1-URGENT", 0.35, "urgent"), (F.col("o_totalprice") > 200000, 0.1, "large"), (F.col("o_orderstatus") == "P", -0.1, "pending")]
     s = t.orders.select("o_orderkey", scoring.additive(0.45, rules, 2, 0.05, 1.0).alias("s"))
     return s.select("o_orderkey", F.col("s.score").alias("score"), scoring.tier(F.col("s.score"), scoring.WEIGHT_TIERS, "emerging").alias("label"))
@@ -166,7 +166,7 @@ def age_penalty(t: Tables) -> DataFrame:
 @R.add("""SELECT c_custkey, concat_ws(',', CASE WHEN NOT coalesce(c_acctbal > 0, FALSE) THEN 'balance' END, CASE WHEN NOT coalesce(n > 0, FALSE) THEN 'orders' END) AS blocking, CASE WHEN coalesce(c_acctbal > 0, FALSE) AND coalesce(n > 0, FALSE) THEN 'PASS' ELSE 'FAIL' END AS verdict
 FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey""")
 def gate_blockers(t: Tables) -> DataFrame:
-    """M10, M24, M27, M28."""
+    """M28."""
     n = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
     g = t.customer.join(n, "c_custkey", "left").select("c_custkey", scoring.gates({"balance": F.col("c_acctbal") > 0, "orders": F.col("n") > 0}).alias("g"))
     return g.select("c_custkey", F.array_join("g.blocking", ",").alias("blocking"), F.col("g.verdict").alias("verdict"))
@@ -174,20 +174,20 @@ def gate_blockers(t: Tables) -> DataFrame:
 
 @R.add("SELECT c_mktsegment, round(100.0 * count(*) FILTER (c_acctbal > 0) / count(*), 1) AS completeness, round(avg(c_acctbal), 2) AS mean_balance FROM customer GROUP BY 1")
 def completeness_index(t: Tables) -> DataFrame:
-    """A19, A20."""
+    """A19's percentage; its tier is in ``reliability_tiers``."""
     return t.customer.groupBy("c_mktsegment").agg(F.round(100.0 * F.count_if(F.col("c_acctbal") > 0) / F.count("*"), 1).alias("completeness"), F.round(F.avg("c_acctbal"), 2).alias("mean_balance"))
 
 
 @R.add("""SELECT p_partkey, concat_ws(',', CASE WHEN NOT p_size > 10 THEN 'size' END, CASE WHEN NOT starts_with(p_brand, 'Brand#1') THEN 'brand' END) AS paths FROM part""")
 def schema_issues(t: Tables) -> DataFrame:
-    """M33, M35."""
+    """M33."""
     found = scoring.issues({"size": (F.col("p_size") > 10, "too small"), "brand": (F.startswith("p_brand", F.lit("Brand#1")), "another brand")})
     return t.part.select("p_partkey", F.array_join(F.transform(found, lambda i: i["path"]), ",").alias("paths"))
 
 
 @R.add("""SELECT s_suppkey, least(greatest(91 - 4.0 * (s_suppkey % 5) - 1.5 * (s_suppkey % 3), 60), 95) AS ecs, round(least(0.95, 0.12 + 0.12 * (s_suppkey % 5) + 0.03 * (s_suppkey % 3)), 4) AS uci FROM supplier""")
 def translation_scores(t: Tables) -> DataFrame:
-    """M23, M25."""
+    """M23."""
     s = t.supplier.select("s_suppkey", scoring.translation_scores(F.col("s_suppkey") % 5, F.col("s_suppkey") % 3).alias("s"))
     return s.select("s_suppkey", F.col("s.ecs").alias("ecs"), F.round("s.uci", 4).alias("uci"))
 
@@ -236,7 +236,7 @@ def bill_of_materials(t: Tables) -> DataFrame:
 @R.add("""WITH RECURSIVE e AS (SELECT 'r' || r_regionkey AS node, 'n' || n_nationkey AS child FROM region JOIN nation ON n_regionkey = r_regionkey UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier),
 d AS (SELECT 'r0' AS node, 0 AS depth UNION ALL SELECT child, depth + 1 FROM d JOIN e USING (node)) SELECT node, CAST(depth AS BIGINT) AS depth FROM d""")
 def recursive_hierarchy(t: Tables) -> DataFrame:
-    """K01, S21, J16."""
+    """S21, with K01's hierarchy."""
     a = t.nation.select(F.concat(F.lit("r"), "n_regionkey").alias("node"), F.concat(F.lit("n"), "n_nationkey").alias("child"))
     b = t.supplier.select(F.concat(F.lit("n"), "s_nationkey").alias("node"), F.concat(F.lit("s"), "s_suppkey").alias("child"))
     roots = t.spark.createDataFrame([("r0",)], "node string")
