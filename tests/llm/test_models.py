@@ -96,48 +96,62 @@ def plain_model(rows):
     return tokens, held, counts, pairs, n, types
 
 
+def plain_scores(rows, cached):
+    """Scores by a plain walk over the automaton; ``cached``: how many words count in failure weights."""
+    tokens, held, counts, pairs, n, types = plain_model(rows)
+    seen, paired = Counter(counts.values()), Counter(pairs.values())
+    d1, d2 = automaton._discount(seen[1], seen[2]), automaton._discount(paired[1], paired[2])
+    kept = least = 0
+    for c in sorted(seen, reverse=True):
+        if kept + seen[c] > cached:
+            break
+        least, kept = c, kept + seen[c]
+    often = {w for w, c in counts.items() if kept and c >= least or w == b"\n"}
+    used, taken = Counter(), Counter()
+    for (a, w), c in pairs.items():
+        if c > 1:
+            used[a] += (c - d2) / counts[a]
+            taken[a] += (counts[w] - d1) / n if w in often else 0.0
+    out = []
+    for i, (doc, _) in enumerate(rows):
+        base = score = 0.0
+        before = None
+        for w in tokens[i]:
+            c = counts[w]
+            base += math.log10((c + 1) / (n + types + 1))
+            root = math.log10((c - d1) / n if c else d1 * types / n)
+            if pairs[before, w] > 1:
+                score += math.log10((pairs[before, w] - d2) / counts[before])
+            else:
+                score += root + (math.log10((1 - used[before]) / (1 - taken[before])) if before in counts else 0.0)
+            before = w
+        out.append((doc, held[i], len(tokens[i]), sum(counts[w] > 0 for w in tokens[i]), n, round(base, 5), round(score, 5)))
+    return out
+
+
+def scored(df):
+    return plain((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5), round(r.score, 5)) for r in automaton.score_documents(df).collect())
+
+
 def test_automaton(awkward, documents, empty):
     for df in (awkward, documents):
         rows = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
-        tokens, held, counts, pairs, n, types = plain_model(rows)
-        seen = Counter(counts.values())
-        d1 = automaton._discount(seen[1], seen[2])
-        states = {w for w, c in counts.items() if c >= automaton.STATE_SHARE * n}
-        inner = {p: c for p, c in pairs.items() if p[0] in states and counts[p[1]] >= automaton.WORD_SHARE * n}
-        d2 = automaton._discount(sum(c == 1 for c in inner.values()), sum(c == 2 for c in inner.values()))
-        arcs = {p: c for p, c in inner.items() if c > 1 and c >= automaton.ARC_SHARE * n}
-        used = Counter()
-        for (a, _), c in arcs.items():
-            used[a] += c - d2
-        want = []
-        for i, (doc, _) in enumerate(rows):
-            base = score = 0.0
-            before = None
-            for w in tokens[i]:
-                c = counts[w]
-                base += math.log10((c + 1) / (n + types + 1))
-                p = (c - d1) / n if c else d1 * types / n
-                if before in states:
-                    mass = 1 - used[before] / counts[before]
-                    p = p * mass + ((arcs[before, w] - d2) / counts[before] if (before, w) in arcs else 0.0)
-                score += math.log10(p)
-                before = w
-            want.append((doc, held[i], len(tokens[i]), sum(counts[w] > 0 for w in tokens[i]), n, round(base, 6), round(score, 6)))
-        got = automaton.score_documents(df).collect()
-        assert plain((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in got) == plain(want)
-        if df is documents:
-            out = [r for r in got if r.held_out]
-            assert sum(r.score for r in out) > sum(r.base_score for r in out)
+        assert scored(df) == plain(plain_scores(rows, automaton.CACHED_WORDS))
+    out = [r for r in automaton.score_documents(documents).collect() if r.held_out]
+    assert sum(r.score for r in out) > sum(r.base_score for r in out)
     assert automaton.score_documents(empty).count() == 0
-
-
-def test_automaton_scores_what_is_not_broadcast(spark, documents, monkeypatch):
-    """The broadcast part is a cache: however small it is, scores are those of all words and pairs."""
-    want = plain((r.doc_id, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in automaton.score_documents(documents).collect())
-    for name, value in (("WORD_SHARE", 1e-3), ("ARC_SHARE", 1e-2), ("STATE_SHARE", 1e-2), ("CACHED_ARCS", 50)):
-        monkeypatch.setattr(automaton, name, value, raising=False)
-    got = automaton.score_documents(documents).collect()
-    assert plain((r.doc_id, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in got) == want
+    # Without training texts all is unknown.
+    only = documents.where(automaton.is_held_out())
+    assert {r.score for r in automaton.score_documents(only).collect()} == {0.0}
+
+
+@pytest.mark.parametrize("cached", [0, 40, 400])
+def test_automaton_with_few_words_broadcast(documents, monkeypatch, cached):
+    """Parts of few tokens and states dealt over several: scores are those of all words and pairs."""
+    for name, value in (("CACHED_WORDS", cached), ("PART_TOKENS", 3000), ("SLICE_BYTES", 20_000)):
+        monkeypatch.setattr(automaton, name, value)
+    rows = [(r.doc_id, r.text) for r in documents.select("doc_id", "text").collect()]
+    assert scored(documents) == plain(plain_scores(rows, cached))
 
 
 def plain_fingerprint(text):
