@@ -42,6 +42,8 @@ LOOSE = {
 }
 MIN_VALUES = 3
 MIN_CONFIDENCE = 0.5
+#: One text of so many bounds counts from below, before counts over all texts.
+BOUND_TEXTS = 64
 
 #: Letters and digits, and all else, for a text in lower case.
 TOKEN, GAP = r"[\p{L}\p{N}]", r"[^\p{L}\p{N}]"
@@ -157,9 +159,13 @@ def _learn(texts: DataFrame, spans: DataFrame) -> DataFrame:
     seen, before = known.count(), -1
     pairs = cut(_patterns(seeds).unionByName(_patterns(loose)).groupBy("kind", "value", "side", "gram").agg(F.count("*").alias("n"), F.min("known").alias("known")), "pairs")
     # Only a pattern of enough values, one of them a candidate, can ever add anything.
-    usable = pairs.groupBy("kind", "side", "gram").agg(F.count("*").alias("v"), F.min("known").alias("k")).where((F.col("v") >= MIN_VALUES) & (F.col("k") == 0))
-    grams = cut(usable.select("gram").distinct(), "grams")
-    totals = cut(gram_counts(texts, grams), "totals")
+    usable = pairs.groupBy("kind", "side", "gram").agg(F.count("*").alias("v"), F.min("known").alias("k"), F.sum("n").alias("most")).where((F.col("v") >= MIN_VALUES) & (F.col("k") == 0))
+    grams = cut(usable.groupBy("gram").agg(F.max("most").alias("most")), "grams")
+    # Tokens that some of the texts alone have too often for any pattern to be confident need no count over
+    # all texts; the bound is exact, so this changes no result. What is left is counted over all texts.
+    least = gram_counts(texts.where(F.pmod(F.xxhash64("t"), F.lit(BOUND_TEXTS)) == 0), grams)
+    hopeful = cut(grams.join(least, "gram", "left").where(F.coalesce("total", F.lit(0)) * MIN_CONFIDENCE <= F.col("most")).select("gram"), "hopeful")
+    totals = cut(gram_counts(texts, hopeful), "totals")
     edges = cut(pairs.drop("known").join(totals, "gram"), "edges")
     pattern = ["kind", "side", "gram"]
     while seen > before:
