@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import arrow_pass, cut
 
-#: Paths of a page that vote, and paths of a host that may win.
-VOTES, WINNERS = 3, 5
+#: Paths of a host that may win: the most voted; pages with none of them keep their own best.
+WINNERS = 64
 #: A host with this share of all pages is hot; there can be 1 / HOT_SHARE of them at most. Their pages
 #: get the winners by broadcast and are dealt out evenly, over SALTS keys.
 HOT_SHARE, SALTS = 0.01, 1024
@@ -32,14 +32,19 @@ CONTAINERS = set("article body center dd div fieldset main section td".split())
 FURNITURE = set("aside dialog footer form menu nav".split())
 #: A new one of these ends an open one, up to the nearest of the second set.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
-#: Words in class, id or role that mark furniture.
+#: Words in class, id or role that mark furniture wherever they stand in a name.
 FURNITURE_WORDS = set(
-    "ad ads adbox adsense advert adverts advertisement advertising banner breadcrumb breadcrumbs byline-share comment comments consent cookie cookies copyright dialog discussion disqus footer gdpr legal login masthead menu menubar modal nav navbar navigation newsletter notice notification outbrain overlay pager pagination paywall popup popular privacy promo promoted promotion recommended related replies reply respond responses search share sharing sidebar signin signup skip social sponsor sponsored subscribe subscription taboola teaser toolbar widget widgets".split()
+    "ad ads adbox adsense advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr login masthead menu menubar modal nav navbar navigation newsletter outbrain overlay pager pagination paywall popup promo promoted replies respond sharing sidebar signin signup sponsor sponsored subscribe subscription taboola teaser toolbar widget widgets".split()
 )
+#: Words that are as often a topic: they mark furniture alone, or beside words that name a part of a page.
+TOPIC_WORDS = set("copyright dialog discussion legal notice notification popular privacy promotion recommended related reply responses search share skip social".split())
+PART_WORDS = set("area article articles bar block box button buttons container content entries form icons inner items link links list media more news outer panel post posts section stories story wrap wrapper".split())
+#: Headings, paragraphs and cells of text are never furniture by their names.
+PROSE = set("blockquote caption dd dt figcaption h1 h2 h3 h4 h5 h6 hgroup li p pre summary td th tr".split())
 
 _token = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|title|textarea|noscript|template|iframe|svg|select|button|object|math)\b[^>]*+>.*?(?:</(?P=raw)\s*+>|(?P<open>\Z))"
+    r"|<(?P<raw>script|style|title|textarea|noscript|template|iframe|svg|select|button)\b[^>]*+>.*?(?:</(?P=raw)\s*+>|(?P<open>\Z))"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attributes>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<[a-zA-Z/!?][^>]*+>",
     re.S | re.I,
@@ -51,6 +56,15 @@ _word = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _host = re.compile(r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/:?#\s]+)")
 
 
+def _names_furniture(name: str) -> bool:
+    """Whether one class, id or role names furniture: by a word of furniture, or by a topic alone or with
+    words for parts of a page only, so that related-posts is and related-work is not."""
+    words = {w.lower() for w in _word.findall(name)}
+    if words & FURNITURE_WORDS:
+        return True
+    return bool(words & TOPIC_WORDS) and words <= TOPIC_WORDS | PART_WORDS
+
+
 class Page:
     """Blocks of text with the nodes they stand in.
 
@@ -141,8 +155,8 @@ class Page:
                     label += "".join("." + re.sub(r"\d+", "9", x) for x in sorted(value.lower().split()))
                 if name.lower() == "hidden" or (name.lower() == "aria-hidden" and value == "true"):
                     sure = True
-                elif not worded and any(w.lower() in FURNITURE_WORDS for w in _word.findall(_beside.sub("", value))):
-                    worded = True
+                elif not worded and tag not in PROSE and (name.lower() != "id" or not self._inside(parent, {"article"})):
+                    worded = any(_names_furniture(x) for x in _beside.sub("", value).split())
         if tag in ("article", "main") and not self._inside(parent, {"article"}):
             sure, worded = sure and "comment" in label, worded and "comment" in label
         if sure:
@@ -252,7 +266,7 @@ class Page:
         for node, score in scores.items():
             path = self.path(wholes[node])
             sums[path] = sums.get(path, 0.0) + score
-        return sorted(sums.items(), key=lambda x: (-x[1], x[0]))[:VOTES]
+        return sorted(sums.items(), key=lambda x: (-x[1], x[0]))
 
     def text(self, path: str) -> str:
         """Blocks below the nodes of a path, without furniture, in page order."""

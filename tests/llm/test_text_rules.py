@@ -304,3 +304,12 @@ def test_all_of_an_article_is_extracted(spark):
     rows = [(i, f"http://h{i}.c/", f"<body><nav>Menu</nav>{shape}{rest if i < 2 else ''}</body>") for i, shape in enumerate(shapes)]
     got = {r.page_id: r.text for r in hostpaths.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == dict.fromkeys(range(len(rows)), want)
+
+
+def test_topics_of_an_article_are_no_furniture(spark):
+    kept = '<h2 id="privacy">On privacy</h2><section id="related-work" class="related-work"><p>Others wrote this.</p></section><p class="search-algorithms">We search.</p><p>So <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds.</p><object data="a.svg">A figure.</object><div id="discussion"><p>We discuss.</p></div>'
+    gone = '<div class="related-posts"><p>Read this too.</p></div><div class="notice">A notice.</div><section class="comments" id="comments"><p>A reader says so.</p></section><div class="ad-box">Buy.</div><form>Name</form>'
+    rows = [(1, "http://a.b/1", f"<body><nav>Menu</nav><article><h1>Title</h1>{kept}{gone}</article><footer>x</footer></body>"), (2, None, f"<body><div class='menu'>Menu</div><div class='story'><h1>Title</h1>{kept}</div></body>")]
+    got = {r.page_id: r.text for r in hostpaths.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = "Title\nOn privacy\nOthers wrote this.\nWe search.\nSo x=1 holds.\nA figure."
+    assert got[1] == want + "\nWe discuss." and got[2].startswith(want)
