@@ -368,13 +368,13 @@ def display_priorities(t: Tables) -> DataFrame:
     return keyed(t, score=score)
 
 
-@R.add("""SELECT c_nationkey, round(100.0 * count(*) FILTER (c_acctbal > 0) / count(*), 1) AS completeness, round(avg(abs(c_acctbal) / 10000), 6) AS reliability,
+@R.add("""SELECT c_nationkey, round(100.0 * count(*) FILTER (c_acctbal > 0) / count(*), 1) AS completeness, round(avg(abs(c_acctbal) / 10000), 4) AS reliability,
 CASE WHEN avg(abs(c_acctbal) / 10000) >= 0.5 THEN 'Nivel 1 (interno validado)' WHEN avg(abs(c_acctbal) / 10000) >= 0.4 THEN 'Nivel 2 (revisión requerida)' ELSE 'Nivel 3 (confiabilidad limitada)' END AS tier FROM customer GROUP BY 1""")
 def reliability_tiers(t: Tables) -> DataFrame:
     """Completeness, mean reliability and its tier."""
     g = t.customer.groupBy("c_nationkey").agg(F.count_if(F.col("c_acctbal") > 0).alias("ok"), F.count("*").alias("n"), F.sum(F.abs("c_acctbal") / 10000).alias("s"))
     r = g.select("c_nationkey", de.reliability_tier(F.col("ok"), F.col("n"), F.col("s"), 0.5, 0.4).alias("r"))
-    return r.select("c_nationkey", "r.completeness", F.round("r.reliability", 6).alias("reliability"), "r.tier")
+    return r.select("c_nationkey", "r.completeness", F.round("r.reliability", 4).alias("reliability"), "r.tier")
 
 
 @R.add("""SELECT user_id, round((least(100, 16 * count(*) FILTER (event_type = 'view')) + least(100, 25 * count(*) FILTER (event_type = 'click')) + CASE WHEN bool_and(value > 5) THEN 100 ELSE 40 END + CASE WHEN bool_or(event_type = 'purchase') THEN 78 ELSE 64 END) / 4.0, 2) AS score FROM events GROUP BY 1""")
