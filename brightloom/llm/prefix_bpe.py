@@ -130,6 +130,8 @@ class PrefixEncoder:
                     continue
             last[end], size[end] = token, n
         ids, at = [], len(text)
+        if last[at] < 0 < at:
+            raise ValueError(f"no tokens of the vocabulary make up {word!r}")
         while at:
             ids.append(last[at])
             at -= size[at]

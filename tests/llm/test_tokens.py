@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -41,6 +43,18 @@ def test_prefix_encoder_equals_library(text):
     assert own.decode(own.encode(text)) == library.decode(ids, skip_special_tokens=False)
 
 
+def test_prefix_encoder_without_a_letter(tmp_path):
+    file = json.loads(Path(WORD).read_text(encoding="utf-8"))
+    model = file["model"]
+    model["vocab"] = {t: i for t, i in model["vocab"].items() if "q" not in t}
+    model["merges"] = [m for m in model["merges"] if "q" not in "".join(m)]
+    (tmp_path / "vocabulary.json").write_text(json.dumps(file), encoding="utf-8")
+    encoder = prefix_bpe.PrefixEncoder(str(tmp_path / "vocabulary.json"))
+    assert len(encoder.encode("plain words")) and encoder.encode("") == b""
+    with pytest.raises(ValueError, match="queue"):
+        encoder.encode("a queue")
+
+
 _cache: dict = {}
 
 
