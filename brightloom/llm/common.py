@@ -47,7 +47,7 @@ def noted() -> Iterator[list[str]]:
     try:
         yield paths
     finally:
-        _scopes.remove(paths)
+        _scopes[:] = [scope for scope in _scopes if scope is not paths]  # equal lists are other scopes
 
 
 def release(spark: SparkSession, paths: list[str]) -> None:
