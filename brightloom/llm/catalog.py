@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import automaton, chat, hostpaths, mips, packing, pii, prefix_bpe, quality, simhash, tokenstore
+from . import automaton, chat, hostpaths, mips, packing, pii, piece_prefix, prefix_bpe, quality, simhash, tokenstore
 from .common import table
 
 
@@ -51,8 +51,12 @@ def op10_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_digests(table(spark, sf_dir, "documents"))
 
 
+def op13_piece_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_prefix.token_digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_round_trip, op2_anisotropic_search, op3_suffix_quality, op4_backoff_automaton, op5_token_store, op6_host_consensus, op7_prefix_bpe, op8_best_fit_packing, op9_simhash, op10_contextual_pii)}
+    return {f.__name__: f for f in (op1_chat_round_trip, op2_anisotropic_search, op3_suffix_quality, op4_backoff_automaton, op5_token_store, op6_host_consensus, op7_prefix_bpe, op8_best_fit_packing, op9_simhash, op10_contextual_pii, op13_piece_prefix)}
 
 
 def oracle_sql() -> dict[str, str]:
