@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import automaton, chat, hostpaths, mips, packing, pii, piece_prefix, prefix_bpe, quality, simhash, tokenstore, treaps
+from . import alignment, automaton, chat, hostpaths, mips, packing, pii, piece_prefix, prefix_bpe, quality, simhash, tokenstore, treaps
 from .common import table
 
 
@@ -55,12 +55,16 @@ def op11_inverted_treaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return treaps.search_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.document_alignment(table(spark, sf_dir, "documents"))
+
+
 def op13_piece_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_prefix.token_digests(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_round_trip, op2_anisotropic_search, op3_suffix_quality, op4_backoff_automaton, op5_token_store, op6_host_consensus, op7_prefix_bpe, op8_best_fit_packing, op9_simhash, op10_contextual_pii, op11_inverted_treaps, op13_piece_prefix)}
+    return {f.__name__: f for f in (op1_chat_round_trip, op2_anisotropic_search, op3_suffix_quality, op4_backoff_automaton, op5_token_store, op6_host_consensus, op7_prefix_bpe, op8_best_fit_packing, op9_simhash, op10_contextual_pii, op11_inverted_treaps, op12_token_alignment, op13_piece_prefix)}
 
 
 def oracle_sql() -> dict[str, str]:
