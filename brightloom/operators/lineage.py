@@ -43,24 +43,6 @@ def hash_chain(df: DataFrame, chain: str, order: str, payload: str) -> DataFrame
     return ordered.mapInArrow(run, f"c {kind[chain]}, o {kind[order]}, hash string").toDF(chain, order, "hash")
 
 
-def transitions(df: DataFrame, case: str, order: Sequence[str], state: str, allowed: Sequence[tuple[str, str]]) -> DataFrame:
-    """Each step of a case with the state before it, and whether the table allows it. A case's
-    first step is allowed."""
-    window = Window.partitionBy(case).orderBy(*order)
-    pairs = F.array(*[F.lit(f"{a}>{b}") for a, b in allowed])
-    stepped = df.withColumn("from_state", F.lag(state).over(window))
-    return stepped.withColumn("allowed", F.col("from_state").isNull() | F.array_contains(pairs, F.concat_ws(">", "from_state", state)))
-
-
-def with_overrides(steps: DataFrame, overrides: DataFrame, case: str, order: str) -> DataFrame:
-    """A step that isn't allowed takes the case's next unused override that is active, signed and
-    justified; an override is used once, by the first such step."""
-    bad = steps.where("NOT allowed").withColumn("_n", F.row_number().over(Window.partitionBy(case).orderBy(order)))
-    good = overrides.where("active AND signed AND justification <> ''").withColumn("_n", F.row_number().over(Window.partitionBy(case).orderBy("override_id")))
-    used = bad.join(good.select(case, "_n", "override_id"), [case, "_n"], "left").select(case, order, "override_id")
-    return steps.join(used, [case, order], "left").withColumn("accepted", F.col("allowed") | F.col("override_id").isNotNull())
-
-
 def upsert(base: DataFrame, changes: DataFrame, key: Sequence[str]) -> DataFrame:
     """Rows of ``changes`` replace those of their key."""
     return base.join(changes.select(*key), list(key), "left_anti").unionByName(changes)

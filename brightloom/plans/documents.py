@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import scoring, text as tx
-from ..operators import lineage, linkage, relational as op, terminology
+from ..operators import lineage, linkage, relational as op, states, terminology
 from ..sources import readers, writers
 from ..streaming import windows
 from .base import Registry, Tables
@@ -192,10 +192,36 @@ def translation_scores(t: Tables) -> DataFrame:
     return s.select("s_suppkey", F.col("s.ecs").alias("ecs"), F.round("s.uci", 4).alias("uci"))
 
 
-@R.add("""SELECT conv_id, turn, role, lag(role) OVER w AS from_state, coalesce(lag(role) OVER w || '>' || role IN ('user>assistant', 'assistant>user', 'system>user'), TRUE) AS allowed FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
+#: Moves between the roles of a conversation, and between the kinds of a user's events.
+ROLE_MOVES = {"start": ["system", "user"], "system": ["user"], "user": ["assistant"], "assistant": ["user"]}
+EVENT_MOVES = {"view": ["click", "view"], "click": ["view", "purchase"], "purchase": ["view"], "signup": ["view"], "error": ["view"]}
+
+
+@R.add("""WITH RECURSIVE t AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS n FROM conversations),
+s AS (SELECT DISTINCT conv_id, CAST(NULL AS BIGINT) AS turn, '' AS role, CAST(0 AS BIGINT) AS n, '' AS from_state, '' AS outcome, 'start' AS state_after FROM t
+UNION ALL SELECT conv_id, turn, role, n, from_state, CASE WHEN ok THEN 'moved' ELSE 'refused' END, CASE WHEN ok THEN role ELSE from_state END
+FROM (SELECT t.*, s.state_after AS from_state, s.state_after || '>' || t.role IN ('start>system', 'start>user', 'system>user', 'user>assistant', 'assistant>user') AS ok FROM s JOIN t ON t.conv_id = s.conv_id AND t.n = s.n + 1))
+SELECT conv_id, turn, role, from_state, outcome, state_after FROM s WHERE n > 0""")
 def state_machine_validate(t: Tables) -> DataFrame:
-    """The roles of conversations as states."""
-    return lineage.transitions(t.conversations, "conv_id", ["turn"], "role", [("user", "assistant"), ("assistant", "user"), ("system", "user")]).select("conv_id", "turn", "role", "from_state", "allowed")
+    """The roles of conversations as states; a refused turn leaves the state as it was."""
+    return states.replay(t.conversations.select("conv_id", "turn", "role"), "conv_id", ["turn"], "role", "start", ROLE_MOVES)
+
+
+@R.add("""WITH RECURSIVE t AS (SELECT user_id, event_id, event_type, CASE WHEN event_id % 5 = 1 THEN 'e' || event_id WHEN event_id % 3 = 0 THEN 'k' || CAST(json_extract_string(props, '$.k') AS BIGINT) % 5 END AS override_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+o AS (SELECT DISTINCT user_id, override_id FROM t WHERE event_id % 2 = 0 AND event_id % 7 > 0 AND override_id IS NOT NULL),
+s AS (SELECT DISTINCT user_id, CAST(NULL AS BIGINT) AS event_id, '' AS event_type, CAST('' AS VARCHAR) AS override_id, CAST(0 AS BIGINT) AS n, '' AS from_state, '' AS outcome, 'view' AS state_after, CAST([] AS VARCHAR[]) AS used FROM t
+UNION ALL SELECT user_id, event_id, event_type, override_id, n, from_state, outcome, CASE WHEN outcome IN ('moved', 'overridden') THEN event_type ELSE from_state END, CASE WHEN outcome = 'overridden' THEN list_append(used, override_id) ELSE used END
+FROM (SELECT t.*, s.used, s.state_after AS from_state, CASE WHEN s.state_after || '>' || t.event_type IN ('view>click', 'view>view', 'click>view', 'click>purchase', 'purchase>view', 'signup>view', 'error>view') THEN 'moved' WHEN t.override_id IS NULL THEN 'refused'
+WHEN o.override_id IS NOT NULL AND NOT list_contains(s.used, t.override_id) THEN 'overridden' ELSE 'invalid-override' END AS outcome
+FROM s JOIN t ON t.user_id = s.user_id AND t.n = s.n + 1 LEFT JOIN o ON o.user_id = t.user_id AND o.override_id = t.override_id))
+SELECT user_id, event_id, event_type, override_id, from_state, outcome, state_after FROM s WHERE n > 0""")
+def override_transitions(t: Tables) -> DataFrame:
+    """users' events as steps; some name an override of their own, some one that others name too."""
+    k = F.get_json_object("props", "$.k").cast("long") % 5
+    named = F.when(F.col("event_id") % 5 == 1, F.concat(F.lit("e"), "event_id")).when(F.col("event_id") % 3 == 0, F.concat(F.lit("k"), k.cast("string")))
+    steps = t.events.select("user_id", "event_id", "event_type", named.alias("override_id"))
+    given = steps.where("override_id IS NOT NULL").select("user_id", "override_id", F.when(F.col("event_id") % 2 == 0, "active").otherwise("expired").alias("status"), F.when(F.col("event_id") % 7 > 0, "lead").alias("signed_by"), F.lit("needed").alias("justification"))
+    return states.replay(steps, "user_id", ["event_id"], "event_type", "view", EVENT_MOVES, given, "override_id")
 
 
 @R.add("""WITH RECURSIVE e AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),

@@ -50,14 +50,6 @@ def test_overlay_and_pages(spark):
     assert [r.v for r in spark.createDataFrame([("b",), ("10",), ("9",)], "v string").orderBy(*relational.mixed_order("v")).collect()] == ["9", "10", "b"]
 
 
-def test_overrides_are_used_once(spark):
-    steps = spark.createDataFrame([("c", 1, "PRE-OP"), ("c", 2, "ICU"), ("c", 3, "CLOSED")], "case string, n int, state string")
-    checked = lineage.transitions(steps, "case", ["n"], "state", [("PRE-OP", "INTRA-OP"), ("INTRA-OP", "ICU")])
-    over = spark.createDataFrame([("c", 7, True, True, "why"), ("c", 8, True, False, "why")], "case string, override_id int, active boolean, signed boolean, justification string")
-    got = {r.n: r.accepted for r in lineage.with_overrides(checked, over, "case", "n").collect()}
-    assert got == {1: True, 2: True, 3: False}
-
-
 def test_vocabularies(spark):
     icd = spark.createDataFrame([("I21", "Infarct", "Def", "I20-I25"), ("I22", "Again", None, ""), ("", "none", None, "x")], "code string, preferred string, definition string, parent string")
     t = terminology.icd10(icd, "2019")
