@@ -27,7 +27,7 @@ PRIORITY_WORDS = (
     "infarto|infarction|cabg|revascular|keratoconus|queratocono|aortic|aorta|stroke|cerebral|aki|colorectal|coronary|heart|cardiac|valve|bypass"
     "|repair|replacement|resection|excision|drainage|transplant"
 )
-RELIABILITY_TIERS = ["Nivel 1 (interno validado)", "Nivel 2 (revisi\u00f3n requerida)", "Nivel 3 (confiabilidad limitada)"]
+RELIABILITY_TIERS = ["Nivel 1 (interno validado)", "Nivel 2 (revisión requerida)", "Nivel 3 (confiabilidad limitada)"]
 LAYERS = "IGL TG EL ETE EUL GHL KBOL RO BOM TAM EVT RDY-G LCCB CCCL SRM CQOI CML".split()
 PRIMARY_SOURCES = ["doi_landing", "pubmed", "official_society", "publisher"]
 SOUND = ["validated_primary", "validated_secondary"]
@@ -55,12 +55,12 @@ def sensitivity(kind: Column, payload: Column) -> Column:
     return F.struct(name.alias("class"), reason.alias("reason"))
 
 
-def display_priority(text: Column, status: Column, system: Column, kind: Column, route: Column, label: Column) -> Column:
-    """A sum of bonuses; long labels lose."""
+def display_priority(text: Column, status: Column, system: Column, kind: Column, route: Column, label: Column, own: str) -> Column:
+    """A sum of bonuses; long labels lose. ``own`` begins the names of one's own source systems."""
     def of(c: Column, table: dict[str, int]) -> Column:
         return F.coalesce(*[F.when(c == k, F.lit(v)) for k, v in table.items()], F.lit(0))
 
-    return (F.when(status == "route-ready", 900).otherwise(0) + F.when(F.startswith(system, F.lit("ICICSO")), 360).otherwise(0) + F.when(system.eqNullSafe("ICD10_PCS"), 0).otherwise(140)
+    return (F.when(status == "route-ready", 900).otherwise(0) + F.when(F.startswith(system, F.lit(own)), 360).otherwise(0) + F.when(system.eqNullSafe("ICD10_PCS"), 0).otherwise(140)
             + of(kind, PRIORITY_KINDS) + of(route, PRIORITY_ROUTES) + F.when(text.rlike(PRIORITY_WORDS), 120).otherwise(0) - F.when(F.length(label) > 220, 30).otherwise(0))
 
 

@@ -7,7 +7,6 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as tx
@@ -98,28 +97,50 @@ def resolve(records: DataFrame, keys: Sequence[str], ordinal: str, mode: str = "
     ``components``: records that share any key, directly or through others, are one cluster; no order
     matters. ``ordered``: records arrive by ordinal; the first of its keys that is known decides the
     cluster, then all its keys point there, so a record that links two clusters doesn't merge them.
-    The latter is sequential inside a component, whose ordinals and keys meet in one task.
+    Ordinals are distinct. A record without keys is a cluster.
     """
     parts = F.filter(F.array(*[F.concat(F.lit(f"{k}:"), F.col(k).cast("string")) for k in keys]), lambda x: x.isNotNull())
     rows = written(records.select(F.col(ordinal).cast("long").alias("ordinal"), parts.alias("keys")))
+    if mode == "ordered":
+        return _in_order(rows)
     first = F.get("keys", F.lit(0))
     edges = rows.select(first.alias("a"), F.explode("keys").alias("b"))
     roots = link_components(edges)
     placed = rows.withColumn("a", first).join(roots.toDF("a", "root"), "a", "left").withColumn("root", F.coalesce("root", "a", F.concat(F.lit("row:"), F.col("ordinal").cast("string"))))
-    if mode == "components":
-        names = placed.groupBy("root").agg(F.min("ordinal").alias("cluster"))
-        return placed.join(names, "root").select("ordinal", "cluster")
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        known: dict[str, int] = {}
-        out = []
-        for row in pdf.sort_values("ordinal").itertuples():
-            cluster = next((known[k] for k in row.keys if k in known), row.ordinal)
-            known |= dict.fromkeys(row.keys, cluster)
-            out.append((row.ordinal, cluster))
-        return pd.DataFrame(out, columns=["ordinal", "cluster"])
-
-    return placed.groupBy("root").applyInPandas(fold, "ordinal long, cluster long").select("ordinal", "cluster")
+    names = placed.groupBy("root").agg(F.min("ordinal").alias("cluster"))
+    return placed.join(names, "root").select("ordinal", "cluster")
+
+
+#: Runs of ordinals that the holders of one key are dealt by.
+RUNS = 64
+
+
+def _in_order(rows: DataFrame) -> DataFrame:
+    """Clusters of records (ordinal, keys by rank) that arrive one by one.
+
+    A key always points to the cluster of the latest record that held it. So a record that isn't new
+    belongs where the latest earlier holder of its deciding key belongs, and if that one was decided by
+    the same key too, where the last holder before that wasn't. Those pointers are found by a running
+    maximum over each key's holders, run by run of ordinals, so the holders of a frequent key are spread;
+    doubling the pointers then takes a few joins for a chain of any length.
+    """
+    held = rows.select("ordinal", F.posexplode("keys").alias("place", "key"))
+    later = held.join(held.groupBy("key").agg(F.min("ordinal").alias("first")), "key").where("ordinal > first")
+    deciding = later.groupBy("ordinal").agg(F.min_by("key", "place").alias("by"))
+    borders = sorted(set(rows.approxQuantile("ordinal", [i / RUNS for i in range(1, RUNS)], 0.001)))
+    run = F.size(F.filter(F.array(*map(F.lit, borders)), lambda x: x < F.col("ordinal"))) if borders else F.lit(0)
+    held = written(held.join(deciding, "ordinal", "left").select("ordinal", "key", F.col("key").eqNullSafe(F.col("by")).alias("decided"), run.alias("run")))
+    anchor = F.max(F.when(~F.col("decided"), F.col("ordinal")))
+    inside = held.withColumn("near", anchor.over(Window.partitionBy("key", "run").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1))).where("decided")
+    runs = held.groupBy("key", "run").agg(anchor.alias("last"))
+    runs = runs.select("key", "run", F.max("last").over(Window.partitionBy("key").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)).alias("far"))
+    points = inside.join(runs, ["key", "run"]).select("ordinal", F.coalesce("near", "far").alias("to"))
+    points = written(points.withColumn("done", F.lit(False)))
+    while not points.where("NOT done").isEmpty():
+        a, b = points.where("NOT done").alias("a"), points.alias("b")
+        moved = a.join(b, F.col("a.to") == F.col("b.ordinal"), "left").select("a.ordinal", F.coalesce("b.to", "a.to").alias("to"), F.coalesce("b.done", F.lit(True)).alias("done"))
+        points = written(points.where("done").unionByName(moved))
+    return rows.join(points.select("ordinal", "to"), "ordinal", "left").select("ordinal", F.coalesce("to", "ordinal").alias("cluster"))
 
 
 ACCESS = ("open", "unknown", "restricted")

@@ -363,8 +363,8 @@ def display_priorities(t: Tables) -> DataFrame:
     """M19."""
     key, size = F.col("p_partkey"), F.col("p_size") % 3
     text = F.when(F.contains("p_name", F.lit("widget")), "valve repair").otherwise("thing")
-    score = de.display_priority(text, F.when(F.col("p_type") == "PROMO", "route-ready"), F.when(size == 0, "ICICSO_X").when(size == 1, "ICD10_PCS").otherwise("ATC"), F.get(F.array(*map(F.lit, ("diagnosis", "procedure", "outcome", "none"))), key % 4),
-                                F.when(key % 2 == 0, "critical-pathway-anchor").otherwise("route-anchor"), F.when(key % 7 == 0, F.repeat(F.lit("x"), F.lit(221))).otherwise("x"))
+    score = de.display_priority(text, F.when(F.col("p_type") == "PROMO", "route-ready"), F.when(size == 0, "LOCAL_X").when(size == 1, "ICD10_PCS").otherwise("ATC"), F.get(F.array(*map(F.lit, ("diagnosis", "procedure", "outcome", "none"))), key % 4),
+                                F.when(key % 2 == 0, "critical-pathway-anchor").otherwise("route-anchor"), F.when(key % 7 == 0, F.repeat(F.lit("x"), F.lit(221))).otherwise("x"), own="LOCAL")
     return keyed(t, score=score)
 
 
