@@ -15,6 +15,7 @@ import hashlib
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import duckdb
 import numpy as np
@@ -22,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import cut
-from .encoding import CACHE_ENTRIES, Pieces, byte_symbols, tokenizer_path, vocabulary
+from .encoding import Pieces, byte_symbols, tokenizer_path, vocabulary
 from .piece_prefix import SHORT, _inner_space, chunks
 
 #: Characters of text of a slice (or one longer text), and A tokens of one run of DuckDB (or one longer group).
-SLICE, WINDOW = 8 << 20, 1 << 20
+SLICE, WINDOW = 2 << 20, 1 << 17
+#: Chunks whose ids a worker keeps.
+CACHED = 200_000
 SLICES = "slice string, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, groups_sha256 array<string>, kinds array<int>, codes binary, times binary, pair_a array<int>, pair_b array<int>, pair_n array<long>"
 DIGESTS = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 GROUPS = "doc_id long, groups string"
@@ -86,20 +89,32 @@ class Aligner:
         self.text = self.a_text + self.b_text
         self.text_size = np.array([len(t) for t in self.text], np.int64)
 
-    def tokens(self, distinct: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """The ids of each chunk (with the space before it) on both sides; a chunk whose tokens' bytes
-        aren't its own has none."""
-        if len(self.pieces) > CACHE_ENTRIES:
+    def tokens(self, distinct: list[str]) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """The ids of all chunks (with the space before each) and how many each has, on both sides; a chunk
+        whose tokens' bytes aren't its own has none."""
+        if len(self.pieces) > CACHED:
             self.pieces.clear()
-        a, b = [], [np.array(ids, np.int64) for ids in self.model.encode([c[1:] for c in distinct], num_threads=1)]
-        for k, chunk in enumerate(distinct):
-            a.append(np.frombuffer(self.pieces[chunk], "<u2").astype(np.int64))
+        a = list(map(self.pieces.__getitem__, distinct))
+        for chunk in distinct:
             if len(chunk) > SHORT:
                 self.pieces.pop(chunk)
-            data = chunk.encode()
-            if b"".join(map(self.a_bytes.__getitem__, a[k].tolist())) != data or b"".join(map(self.b_bytes.__getitem__, b[k].tolist())) != data:
-                a[k] = b[k] = np.zeros(0, np.int64)
-        return a, b
+        b = self.model.encode([c[1:] for c in distinct], num_threads=1)
+        a_ids, b_ids = np.frombuffer(b"".join(a), "<u2").astype(np.int64), np.fromiter(chain.from_iterable(b), np.int64)
+        n_a, n_b = np.fromiter(map(len, a), np.int64, len(a)) // 2, np.fromiter(map(len, b), np.int64, len(b))
+        data = list(map(str.encode, distinct))
+        size = np.fromiter(map(len, data), np.int64, len(data))
+        wrong = np.zeros(len(data), bool)
+        for ids, n, sizes, texts in ((a_ids, n_a, self.a_size, self.a_bytes), (b_ids, n_b, self.b_size, self.b_bytes)):
+            ends = np.r_[0, np.cumsum(n)]
+            total = np.r_[0, np.cumsum(sizes[ids])][ends]
+            wrong |= np.diff(total) != size
+            joined = b"".join(map(texts.__getitem__, ids.tolist()))
+            if wrong.any() or joined != b"".join(data):
+                wrong |= np.array([joined[x:y] != d for x, y, d in zip(total.tolist(), total[1:].tolist(), data, strict=False)], bool)
+        if wrong.any():
+            a_ids, b_ids = a_ids[~np.repeat(wrong, n_a)], b_ids[~np.repeat(wrong, n_b)]
+            n_a, n_b = np.where(wrong, 0, n_a), np.where(wrong, 0, n_b)
+        return (a_ids, n_a), (b_ids, n_b)
 
 
 @lru_cache(maxsize=2)
@@ -108,13 +123,21 @@ def aligner(byte_path: str, piece_path: str) -> Aligner:
     return Aligner(byte_path, piece_path)
 
 
+class Numbers(dict):
+    """Chunk -> its number, in order of appearance."""
+
+    def __missing__(self, chunk: str) -> int:
+        self[chunk] = number = len(self)
+        return number
+
+
 class Slice:
     """The distinct chunks of some texts, and each text as numbers of chunks."""
 
     def __init__(self) -> None:
         self.ids: list = []
         self.texts: list[np.ndarray] = []
-        self.chunks: dict[str, int] = {}
+        self.chunks = Numbers()
         self.size = 0
 
     def add(self, doc_id: int | None, text: str) -> None:
@@ -122,7 +145,7 @@ class Slice:
         while at < len(text):  # long texts are cut up some at a time
             border = _inner_space.search(text, at + SLICE) if len(text) - at > SLICE else None
             part, at = (text[at : border.start()], border.end()) if border else (text[at:], len(text))
-            parts.append(np.array([known.setdefault(" " + c, len(known)) for c in chunks(part)], np.int64))
+            parts.append(np.fromiter(map(known.__getitem__, chunks(part)), np.int64))
         self.ids.append(doc_id)
         self.texts.append(np.concatenate(parts) if parts else np.zeros(0, np.int64))
         self.size += len(text)
@@ -145,10 +168,8 @@ def windows(a_next: np.ndarray, b_next: np.ndarray) -> Iterator[tuple[int, int,
 def align(part: Slice, own: Aligner) -> dict:
     """All of a slice: per chunk token, group and link counts and the groups' text; the slice's pairs;
     and for each document how often it holds which pair."""
-    distinct = list(part.chunks)
-    a, b = own.tokens(distinct)
-    n_a, n_b = (np.array([len(x) for x in side], np.int64) for side in (a, b))
-    a_ids, b_ids = (np.concatenate([*side, np.zeros(0, np.int64)]) for side in (a, b))
+    distinct = [" " + c for c in part.chunks]
+    (a_ids, n_a), (b_ids, n_b) = own.tokens(distinct)
     a_next, b_next = np.cumsum(own.a_size[a_ids]), np.cumsum(own.b_size[b_ids])
     a_chunk, b_chunk = np.repeat(np.arange(len(distinct)), n_a), np.repeat(np.arange(len(distinct)), n_b)
     a_group, b_group, groups = [], [], 0
