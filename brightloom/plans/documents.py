@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import scoring, text as tx
-from ..operators import lineage, linkage, relational as op, states, terminology
+from ..operators import impacts, lineage, linkage, relational as op, states, terminology
 from ..sources import readers, writers
 from ..streaming import windows
 from .base import Registry, Tables
@@ -152,6 +152,42 @@ def browser_search(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", score.alias("score")).where("score IS NOT NULL")
 
 
+#: Folded text in DuckDB, as T02 folds it.
+FOLDED = "trim(regexp_replace(lower(translate(regexp_replace({c}, '\\p{{M}}+', '', 'g'), '" + tx.ACCENTED + "', '" + tx.PLAIN + "')), '\\s+', ' ', 'g'))"
+CONCEPTS = f"""d AS (SELECT doc_id, lang, source, n_chars, {FOLDED.format(c="substring(text, 1, 60)")} AS l, {FOLDED.format(c="text")} AS h, list_filter(regexp_extract_all(h, '[a-z0-9]+'), lambda x: length(x) > 1) AS w0 FROM documents)"""
+ASKED = f"""q AS (SELECT item_id, {FOLDED.format(c="array_to_string(list_slice(string_split(text, ' '), 1, {n}), ' ')")} AS p, list_distinct(regexp_extract_all(p, '[a-z0-9]+')) AS ts FROM benchmark)"""
+
+
+def _concepts(t: Tables, extra) -> impacts.Index:
+    rows = t.documents.select("doc_id", F.substring("text", 1, 60).alias("label"), "text", extra.alias("extra"))
+    return impacts.write_index(rows, "doc_id", "label", "text", F.col("extra"))
+
+
+def _first_words(t: Tables, n: int) -> DataFrame:
+    return t.benchmark.select("item_id", F.array_join(F.slice(F.split("text", " "), 1, n), " ").alias("text"))
+
+
+@R.add(f"""WITH {CONCEPTS}, {ASKED.replace("{n}", "4")},
+w AS (SELECT doc_id, list(x ORDER BY i) AS w FROM (SELECT doc_id, x, min(i) AS i, row_number() OVER (PARTITION BY doc_id ORDER BY min(i)) AS n FROM (SELECT doc_id, unnest(w0) AS x, generate_subscripts(w0, 1) AS i FROM d) GROUP BY doc_id, x) WHERE n <= 48 GROUP BY doc_id),
+s AS (SELECT item_id, d.doc_id AS key, list_sum(list_transform(ts, lambda t: CASE WHEN starts_with(l, t) THEN 12 ELSE 0 END + CASE WHEN contains(h, t) THEN 4 ELSE 0 END + CASE WHEN coalesce(list_contains(w, t), FALSE) THEN 6 ELSE 0 END)) AS base,
+CASE WHEN lang = 'en' THEN 6.0 ELSE 0 END - CASE WHEN source = 'src0' THEN 8 ELSE 0 END AS extra FROM q, d LEFT JOIN w USING (doc_id))
+SELECT item_id, rank, key, score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, key) AS INTEGER) AS rank FROM (SELECT item_id, key, greatest(base + extra, 1.0) AS score FROM s WHERE base > 0)) WHERE rank <= 10""")
+def index_search(t: Tables) -> DataFrame:
+    """The ten best documents for the first words of each item, by the index."""
+    extra = F.when(F.col("lang") == "en", 6.0).otherwise(0.0) - F.when(F.col("source") == "src0", 8).otherwise(0)
+    return impacts.search(_concepts(t, extra), _first_words(t, 4), "item_id", "text", 10)[0]
+
+
+@R.add(f"""WITH {CONCEPTS}, {ASKED.replace("{n}", "2")},
+s AS (SELECT item_id, doc_id AS key, list_sum(list_transform(ts, lambda t: CASE WHEN starts_with(l, t) THEN 55 WHEN contains(l, t) THEN 34 ELSE 16 END)) + CASE WHEN l = p THEN 180 WHEN starts_with(l, p) THEN 30 ELSE 0 END + least(n_chars, 200) / 20 AS score
+FROM q, d WHERE len(ts) > 0 AND len(list_filter(ts, lambda t: NOT contains(h, t))) = 0)
+SELECT item_id, rank, key, score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, key) AS INTEGER) AS rank FROM s) WHERE rank <= 10""")
+def index_browser(t: Tables) -> DataFrame:
+    """The ten best documents that hold both first words of an item, by the index."""
+    extra = F.least(F.col("n_chars"), F.lit(200)) / 20
+    return impacts.search(_concepts(t, extra), _first_words(t, 2), "item_id", "text", 10, impacts.BROWSER_SEARCH)[0]
+
+
 @R.add("""SELECT o_orderkey, score, CASE WHEN score >= 0.85 THEN 'critical' WHEN score >= 0.7 THEN 'high' WHEN score >= 0.5 THEN 'moderate' ELSE 'emerging' END AS label FROM (SELECT o_orderkey, least(greatest(round(0.45 + CASE WHEN o_orderpriority = '1-URGENT' THEN 0.35 ELSE 0 END + CASE WHEN o_totalprice > 200000 THEN 0.1 ELSE 0 END - CASE WHEN o_orderstatus = 'P' THEN 0.1 ELSE 0 END, 2), 0.05), 1.0) AS score FROM orders)""")
 def weighted_score(t: Tables) -> DataFrame:
     """Additive rules, clamped, with tiers, as M01 and M02 use them."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import relational as op
+from ..operators import lexicon, relational as op
 from .base import Registry, Tables
 
 R = Registry()
@@ -119,6 +119,32 @@ def contains_both_ways(t: Tables) -> DataFrame:
     return op.contained_either_way(t.part, "p_type", ["promo", "standard"]).select("p_partkey", F.array_join("matches", ",").alias("matches"))
 
 
+#: Passages of the benchmark before its longer words, as a lexicon table.
+LEXICON = """SELECT word, arg_min(label, place) AS label, min(place) AS place FROM (SELECT lower(text) AS word, 'passage ' || item_id AS label, item_id AS place FROM benchmark
+UNION ALL SELECT word, 'word ' || word, 1000000 + min(item_id) FROM (SELECT item_id, unnest(string_split(lower(text), ' ')) AS word FROM benchmark) WHERE length(word) >= 8 GROUP BY word) GROUP BY word"""
+
+
+def benchmark_words(t: Tables, least: int) -> DataFrame:
+    words = t.benchmark.select("item_id", F.explode(F.split(F.lower("text"), " ")).alias("word"))
+    return words.where(F.length("word") >= least).groupBy("word").agg(F.min("item_id").alias("item_id"))
+
+
+@R.add(f"""SELECT doc_id, arg_min(label, (place, word)) AS label FROM documents LEFT JOIN ({LEXICON}) ON contains(lower(text), word) GROUP BY doc_id""")
+def lexicon_first_match(t: Tables) -> DataFrame:
+    """J08, with a lexicon that is a table: whole documents against passages and words."""
+    passages = t.benchmark.select(F.lower("text").alias("word"), F.concat(F.lit("passage "), "item_id").alias("label"), F.col("item_id").alias("place"))
+    words = benchmark_words(t, 8).select("word", F.concat(F.lit("word "), "word").alias("label"), (F.col("item_id") + 1000000).alias("place"))
+    return lexicon.first_contained(t.documents.select("doc_id", "text"), "text", passages.unionByName(words)).select("doc_id", "label")
+
+
+@R.add("""SELECT DISTINCT text, word FROM (SELECT DISTINCT lower(string_split(text, ' ')[1]) AS text FROM conversations), (SELECT DISTINCT unnest(string_split(lower(text), ' ')) AS word FROM benchmark)
+WHERE length(word) >= 4 AND (contains(text, word) OR contains(word, text))""")
+def lexicon_both_ways(t: Tables) -> DataFrame:
+    """J09, with a lexicon that is a table: first words of turns against words of the benchmark."""
+    first = t.conversations.select(F.lower(F.get(F.split("text", " "), F.lit(0))).alias("text")).distinct()
+    return lexicon.contained_either_way(first.withColumn("t", F.col("text")), "text", "t", benchmark_words(t, 4))
+
+
 @R.add("""SELECT c_custkey, count(DISTINCT o_orderkey) AS orders, count(DISTINCT l_partkey) AS parts, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS brands
 FROM customer LEFT JOIN orders ON o_custkey = c_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN part ON p_partkey = l_partkey GROUP BY c_custkey""")
 def multi_hop(t: Tables) -> DataFrame:
