@@ -43,6 +43,40 @@ def hash_chain(df: DataFrame, chain: str, order: str, payload: str) -> DataFrame
     return ordered.mapInArrow(run, f"c {kind[chain]}, o {kind[order]}, hash string").toDF(chain, order, "hash")
 
 
+#: Rows of a segment of a chain, as a power of two.
+SEGMENT_BITS = 12
+
+
+def verified_chain(df: DataFrame, chain: str, order: Sequence[str], payload: str, hash_: str) -> DataFrame:
+    """Rows of stored chains with ``valid``: the stored hash is that of the stored hash before it
+    and the row's own payload, as ``hash_chain`` makes it.
+
+    Sorted rows are dealt in segments of bounded length, each of which needs no more of the chain than the
+    last hash of the segment before it; so a chain of any length is verified by many tasks. A changed
+    payload breaks its own row; a changed, lost or added row breaks the row after it too. Null payloads
+    and hashes are empty; rows of a null chain are one chain; rows of equal order are ordered by hash.
+    """
+    from .linkage import written
+
+    own = [F.col(chain).cast("string").alias("_chain"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], F.coalesce(F.col(hash_), F.lit("")).alias("_hash"), F.coalesce(F.col(payload).cast("string"), F.lit("")).alias("_payload")]
+    keys = ["_chain", *[f"_o{i}" for i in range(len(order))], "_hash"]
+    rows = df.select(F.struct("*").alias("_row"), *own).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    rows = written(rows.withColumn("_at", F.monotonically_increasing_id()).withColumn("_segment", F.shiftright("_at", SEGMENT_BITS)))
+    inside = F.lag("_hash").over(Window.partitionBy("_chain", "_segment").orderBy("_at"))
+    ends = rows.groupBy("_chain", "_segment").agg(F.max_by("_hash", "_at").alias("_last"))
+    ends = ends.select("_chain", "_segment", F.lag("_last").over(Window.partitionBy("_chain").orderBy("_segment")).alias("_before"))
+    a, b = rows.withColumn("_inside", inside).alias("a"), ends.alias("b")
+    both = a.join(b, F.col("a._chain").eqNullSafe(F.col("b._chain")) & (F.col("a._segment") == F.col("b._segment")))
+    previous = F.coalesce("_inside", "_before", F.lit(""))
+    valid = F.sha2(F.concat_ws("|", previous, "_payload"), 256) == F.col("_hash")
+    return both.select(*[F.col("_row")[c].alias(c) for c in df.columns if c != "valid"], valid.alias("valid"))
+
+
+def first_breaks(verified: DataFrame, chain: str, order: str) -> DataFrame:
+    """Each chain's number of rows and of broken ones, and where it breaks first."""
+    return verified.groupBy(chain).agg(F.count("*").alias("n"), F.count_if(~F.col("valid")).alias("broken"), F.min(F.when(~F.col("valid"), F.col(order))).alias("first_break"))
+
+
 def upsert(base: DataFrame, changes: DataFrame, key: Sequence[str]) -> DataFrame:
     """Rows of ``changes`` replace those of their key."""
     return base.join(changes.select(*key), list(key), "left_anti").unionByName(changes)
