@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, functions as F, Window
 from .common import cut
 
 #: Bytes of text of a shard (or one longer text), and items of a block.
-SHARD, BLOCK = 24 << 20, 512
+SHARD, BLOCK = 10 << 20, 512
 #: A range of at most so many postings is added up at once.
 FEW = 4096
 TOP = 10
