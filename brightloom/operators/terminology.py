@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as tx
+from .crawl import crawl
 
 
 @dataclass
@@ -129,15 +130,7 @@ def primary_codes(codes: DataFrame, term: str, category: str, preference: dict[s
     return codes.withColumn("_n", best).withColumn("is_primary", F.col("_n") == 1).drop("_n")
 
 
-def descendants(edges: DataFrame, roots: DataFrame, most: int = 64) -> DataFrame:
-    """Nodes below the roots with their depth; a visited node isn't entered again, so loops
-    end. Each level is one join, written before the next."""
-    from .linkage import written
-
-    seen = level = written(roots.select(F.col("node"), F.lit(0).alias("depth")))
-    for depth in range(1, most + 1):
-        level = written(level.join(edges.toDF("node", "child"), "node").select(F.col("child").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
-        if level.isEmpty():
-            break
-        seen = seen.unionByName(level)
-    return seen
+def descendants(edges: DataFrame, roots: DataFrame, most: int | None = None) -> DataFrame:
+    """Nodes below the roots with their least depth, however deep; with ``most``, the first so
+    many nodes in breadth-first order."""
+    return crawl(edges, roots, most)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import documents, evidence, files, relational, rules
+from . import documents, evidence, files, processes, relational, rules
 from .base import Query
 
 
-MODULES = (relational, documents, evidence, rules, files)
+MODULES = (relational, documents, evidence, rules, files, processes)
 
 
 def queries() -> dict[str, Query]:

@@ -236,7 +236,7 @@ def paged_records(t: Tables) -> DataFrame:
     for r in range(5):  # one page for each of the five regions
         rows = t.nation.where(F.col("n_regionkey") == r).groupBy().agg(F.collect_list(F.struct(F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("title"), (2000 + F.col("n_nationkey")).alias("year"))).alias("results"))
         text_file(rows, F.to_json(F.struct("results")), folder, f"p{r}.json")
-    return paged.read(t.spark, folder.removeprefix("file:"))
+    return paged.read(t.spark, folder)
 
 
 @R.add("SELECT p_partkey, p_partkey % 4 IN (0, 1) AS pdf, p_partkey % 4 = 2 AS zip FROM part")

@@ -1,43 +1,52 @@
-"""Paged record sources as a Python data source; pages come from a folder of JSON files."""
+"""Paged record sources. A page is a JSON file with ``results`` and the cursor of the ``next`` page;
+pages are read through Spark, so they may lie in any store that Spark reads, and may come as a stream."""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-from pathlib import Path
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from ..operators.crawl import crawl, running
 
+PAGE = "results array<struct<id:string,title:string,year:int>>, next string"
 
-class PagedRecords(DataSource):
-    """Options: ``path``, a folder of ``*.json`` pages that each have ``results`` (id, title, year), and
-    ``max_results`` for each page file. A page is a partition, so pages are read in parallel."""
 
-    @classmethod
-    def name(cls) -> str:
-        return "paged_records"
+def _parsed(files: DataFrame) -> DataFrame:
+    """``page`` (its file's name), ``next`` and ``results`` of whole-text files; a byte-order mark goes."""
+    parsed = F.from_json(F.regexp_replace("value", "^﻿", ""), PAGE)
+    return files.select(F.col("_metadata.file_name").alias("page"), parsed.alias("p")).select("page", "p.next", F.coalesce("p.results", F.array().cast("array<struct<id:string,title:string,year:int>>")).alias("results"))
 
-    def schema(self) -> str:
-        return "page string, id string, title string, year int"
 
-    def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options)
+def pages(spark: SparkSession, path: str) -> DataFrame:
+    """All pages of a folder of ``*.json`` files; a file that is no page has no results."""
+    return _parsed(spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(path))
 
 
-class _Reader(DataSourceReader):
-    def __init__(self, options) -> None:
-        self.path, self.most = options["path"], int(options.get("max_results", 1 << 31))
+def _records(rows: DataFrame) -> DataFrame:
+    return rows.select("page", F.explode("results").alias("r")).select("page", "r.id", "r.title", "r.year")
 
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(str(p)) for p in sorted(Path(self.path).glob("*.json"))]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        page = Path(partition.value)
-        for r in json.loads(page.read_text(encoding="utf-8-sig")).get("results", [])[: self.most]:
-            yield page.name, r.get("id"), r.get("title"), r.get("year")
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """``page, id, title, year`` of the records of all pages."""
+    return _records(pages(spark, path))
 
 
-def read(spark: SparkSession, path: str):
-    spark.dataSource.register(PagedRecords)
-    return spark.read.format("paged_records").option("path", path).load()
+def followed(found: DataFrame, first: str, most: int | None = None) -> DataFrame:
+    """Records of ``pages`` in the order of their cursors from page ``first`` on, numbered from 1 over
+    all pages as ``n``; with ``most``, the first so many. A cursor that leads nowhere, or back, ends it;
+    so does an empty page."""
+    edges = found.where(F.size("results") > 0).select("page", F.col("next").alias("to"))
+    start = found.where(F.col("page") == first).select(F.col("page").alias("node"))
+    chain = crawl(edges, start).withColumnRenamed("node", "page")
+    ordered = running(found.join(chain, "page"), ["depth"], F.size("results"), "_end")
+    if most is not None:
+        ordered = ordered.where(F.col("_end") - F.size("results") < most)
+    rows = ordered.select("page", (F.col("_end") - F.size("results")).alias("_before"), F.posexplode("results").alias("_i", "r"))
+    rows = rows.select((F.col("_before") + F.col("_i") + 1).alias("n"), "page", "r.id", "r.title", "r.year")
+    return rows if most is None else rows.where(F.col("n") <= most)
+
+
+def stream(spark: SparkSession, path: str, pages_a_batch: int = 1000) -> DataFrame:
+    """The records of a folder's pages as a stream. The query's checkpoint remembers which pages were
+    read, so a query that is started again goes on with the others and reads each record once."""
+    files = spark.readStream.option("wholetext", True).option("pathGlobFilter", "*.json").option("maxFilesPerTrigger", pages_a_batch).text(path)
+    return _records(_parsed(files))
