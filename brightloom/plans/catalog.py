@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import documents, evidence, files, processes, relational, rules
+from . import documents, evidence, files, processes, relational, rules, texts
 from .base import Query
 
 
-MODULES = (relational, documents, evidence, rules, files, processes)
+MODULES = (relational, documents, evidence, rules, files, processes, texts)
 
 
 def queries() -> dict[str, Query]:

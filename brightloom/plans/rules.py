@@ -35,63 +35,6 @@ def keyed(t: Tables, **columns: Column) -> DataFrame:
     return t.part.select("p_partkey", *[c.alias(n) for n, c in columns.items()])
 
 
-SPACED = ("  one\t@ \n two ", "# ", "a  b   @")
-
-
-@R.add(f"SELECT p_partkey, {wanted('one @ two', '#', 'a b @')} AS text FROM part")
-def collapsed_space(t: Tables) -> DataFrame:
-    """T01."""
-    return keyed(t, text=tx.collapse(said(*SPACED)))
-
-
-@R.add(f"SELECT p_partkey, lower({wanted('cirugia @', 'nandu naive', 'cafe # ete')}) AS text FROM part")
-def folded_accents(t: Tables) -> DataFrame:
-    """T02."""
-    return keyed(t, text=tx.fold(said("Cirugía @", "Ñandú  naïve", "Café # ÉTÉ")))
-
-
-CLEAN_IN = (
-    "R Coronary revascu- larization of @ is recommended (1,2) in adults.12,13", "Table 4 CABG | should be done in @ COR", "PCI is useful for @.Downloaded from http://x.example",
-    "12 Aspirin < # mg is advised for @ B-NR", "NR In @ patients4, revascularization is reasonable;",
-)
-CLEAN_OUT = ("Coronary revascularization of @ is recommended in adults.", "CABG should be done in @", "PCI is useful for @.", "Aspirin <# mg is advised for @", "In @ patients, revascularization is reasonable")
-
-
-@R.add(f"SELECT p_partkey, {wanted(*CLEAN_OUT)} AS text FROM part")
-def cleaned_statements(t: Tables) -> DataFrame:
-    """T08."""
-    return keyed(t, text=tx.clean_statement(said(*CLEAN_IN)))
-
-
-LONG = "Coronary revascularization of @ is recommended in adults with angina"
-
-
-@R.add(f"SELECT p_partkey, {wanted(LONG, LONG, 'Some remarks on @', 'CABG should be considered in @')} AS text FROM part")
-def finished_statements(t: Tables) -> DataFrame:
-    """Cut at supporting text, then the first sentence that recommends, else the first."""
-    return keyed(t, text=tx.finalize_statement(said(f"{LONG}. Observational studies of @ show more. It is so.", f"The evidence is old. {LONG}. More of it", "Some remarks on @. And others", "Observational studies came first. CABG should be considered in @.")))
-
-
-@R.add(f"SELECT p_partkey, {flags(True, True, False, True, False)} AS acts, {flags(False, False, False, False, True)} AS heads, {flags(True, True, False, True, False)} AS recommends FROM part")
-def recommending_language(t: Tables) -> DataFrame:
-    """T10, T11."""
-    text = said("@ should not be used.", "@ may be considered, in part.", "@ was used; nothing more.", "it is reasonable for @.", "Recommendations for @")
-    return keyed(t, acts=tx.actionable(text), heads=tx.heading(text), recommends=tx.recommends(text))
-
-
-@R.add(f"SELECT p_partkey, {flags(True, True, True, False)} AS heads FROM part")
-def heading_rules(t: Tables) -> DataFrame:
-    """Empty, known beginnings, titles; sentences are none."""
-    return keyed(t, heads=tx.heading(said("", "Revascularization of @ in practice;", "Specific Recommendations", "a sentence about @, with points.")))
-
-
-@R.add(f"""SELECT p_partkey, {wanted('CABG should be considered in @|PCI is recommended for @ and more', 'Only this about @|And that', 'x' * 240)} AS chosen FROM part""")
-def selected_statements(t: Tables) -> DataFrame:
-    """Those that recommend, else the first five, else the start."""
-    text = said("CABG should be considered in @. The weather was fine. PCI is recommended for @ and more", "Only this about @. And that.", "x" * 240)
-    return keyed(t, chosen=F.array_join(tx.select_statements(text), "|"))
-
-
 @R.add(f"SELECT p_partkey, {wanted('1', '2A', '3: HARM', None)} AS cor, {wanted('A', 'B-R', 'C-LD', None)} AS loe FROM part")
 def inline_grade_pairs(t: Tables) -> DataFrame:
     """Grades in brackets."""
@@ -99,19 +42,6 @@ def inline_grade_pairs(t: Tables) -> DataFrame:
     return keyed(t, cor=g["cor"], loe=g["loe"])
 
 
-@R.add(f"SELECT p_partkey, {flags(True, False, False, False, False)} AS accepted FROM part")
-def accepted_statements(t: Tables) -> DataFrame:
-    """T21."""
-    return keyed(t, accepted=tx.acceptable(said("CABG should be considered in adults with @.", "PCI should be used?  In @ adults, that is", "is advised", "The appendix is recommended for adults of @.", "The task force met in the town of @ and left.")))
-
-
-@R.add(f"SELECT p_partkey, {flags(True, True, True, True, True, True, True, False)} AS noise, {flags(False, True, False, False, False, False, False, False)} AS structure FROM part")
-def noise_and_structure(t: Tables) -> DataFrame:
-    """Noise lines with journals, societies and headings; structural lines."""
-    line = said("ab", "12", "http://x.example/@", "Downloaded from @", "all permissions of @.", "J Am Coll Cardiol 2021, @; 1-9.", "Recommendations for @", "@ is one thing; CABG should follow, at once.")
-    return keyed(t, noise=tx.noise_line(line), structure=tx.structural_line(line))
-
-
 def _lines(t: Tables, *lines: str) -> DataFrame:
     """A page of lines for each part."""
     texts = F.array(*[F.replace(F.lit(x), F.lit("@"), F.col("p_type")) for x in lines])
@@ -165,12 +95,6 @@ def numbered_items(t: Tables) -> DataFrame:
     return _found(ex.numbered_rows(_lines(t, "1. PCI is recommended in @ | 2. CABG should be considered", "3. Nothing is said")))
 
 
-@R.add(_rows((0, "PCI is recommended, e.g. in @.", None, None), (0, "CABG is not!", None, None)))
-def narrative_sentences(t: Tables) -> DataFrame:
-    """Sentences, with abbreviations that end none."""
-    return _found(ex.action_sentences(_lines(t, "PCI is recommended, e.g. in @. CABG is not!")))
-
-
 @R.add("""SELECT p_partkey AS doc, 1 AS ordinal, 'PCI is recommended in adults with ' || p_type AS text, '1' AS cor, p_partkey || ':S001' AS statement_id FROM part
 UNION ALL SELECT p_partkey, 2, 'CABG should be considered in all other adults', '2A', p_partkey || ':S002' FROM part""")
 def extracted_candidates(t: Tables) -> DataFrame:
@@ -207,13 +131,6 @@ def conditions_and_exclusions(t: Tables) -> DataFrame:
     return keyed(t, conditions=F.array_join(tx.conditions(text), "|"), exclusions=F.array_join(tx.exclusions(text), "|"))
 
 
-@R.add(f"SELECT p_partkey, {wanted('urgent', 'before-discharge', 'chronic-stable', None)} AS temporality, {wanted('acute-mi', 'inpatient', 'stable-ischemic-heart-disease', None)} AS setting, {wanted('cardiogenic shock', None, 'stable', None)} AS state, {wanted('STEMI', 'PCI', 'SIHD', 'General')} AS topic FROM part")
-def statement_labels(t: Tables) -> DataFrame:
-    """First labels by fixed lists."""
-    text = said("urgent PCI in STEMI with cardiogenic shock", "PCI before hospital discharge", "stable adults with SIHD", "nothing at all of #")
-    return keyed(t, temporality=tx.first_label(text, tx.TEMPORALITY), setting=tx.first_label(text, tx.SETTING), state=tx.clinical_state(text), topic=tx.first_label(text, tx.TOPICS, "General"))
-
-
 @R.add(f"SELECT p_partkey, {wanted('within 24 hours|urgent', '3 to # months|stable', '')} AS times, {wanted('within 24 hours', '3 to # months', None)} AS window_, {wanted('symptom onset', None, None)} AS anchor FROM part")
 def temporal_rules(t: Tables) -> DataFrame:
     """Wordings of time, units in the plural, the window, the anchor."""
@@ -245,39 +162,6 @@ def trigger_facts(t: Tables) -> DataFrame:
     return f.select("p_partkey", F.col("execution.trigger.who").alias("who"), F.col("execution.trigger.constraints.time_window").alias("window_"), F.col("execution.action").alias("action"))
 
 
-@R.add(f"SELECT p_partkey, {wanted('guideline', 'randomized trial', 'meta-analysis', 'case-control', 'observational')} AS design, {wanted('guideline', 'high', 'high', 'moderate', 'moderate')} AS level FROM part")
-def study_designs(t: Tables) -> DataFrame:
-    """T32."""
-    d = tx.study_design(said("a Guideline of @", "randomised cohort of @", "a metaanalysis and review", "a case-control study", "a look at @"))
-    return keyed(t, design=d, level=tx.design_level(d))
-
-
-@R.add("SELECT p_partkey, 'drug=' || p_type || ';dose=' || p_size AS cells FROM part")
-def typed_cell_lists(t: Tables) -> DataFrame:
-    """T38."""
-    cells = tx.typed_cells(said("Drug: @ | bad: x ; dose:# | alone", "drug:@;dose: #;drug:"), ["drug", "dose"])
-    return keyed(t, cells=F.array_join(F.transform(cells, lambda c: F.concat(c["type"], F.lit("="), c["value"])), ";"))
-
-
-@R.add("SELECT p_partkey, CAST(p_size || '.5' AS DOUBLE) * CASE WHEN p_partkey % 2 = 1 THEN -1 ELSE 1 END AS number FROM part")
-def decimal_numbers(t: Tables) -> DataFrame:
-    """A comma is a decimal point."""
-    return keyed(t, number=tx.number_in(said("about #,5 mg or 7", "is -#.5")))
-
-
-@R.add(f"SELECT p_partkey, {wanted('es', 'es', 'en')} AS lang FROM part")
-def guessed_languages(t: Tables) -> DataFrame:
-    """T41."""
-    return keyed(t, lang=tx.guess_language(said("@ in Spanish", "@ [ES]", "@ of #")))
-
-
-@R.add("SELECT p_partkey, 'One of ' || p_type || '. Two! Three? Four. Five. Six.' AS summary, 'Seven is ' || p_size AS takeaway FROM part")
-def summaries(t: Tables) -> DataFrame:
-    """T44."""
-    s = tx.summary(said("One of @. Two! Three? Four. Five. Six. Seven is #"))
-    return keyed(t, summary=s["summary"], takeaway=s["takeaway"])
-
-
 @R.add("SELECT p_partkey, lower(p_type) || '_part-' || p_size || '.txt' AS name, p_type || ' (' || printf('%.2f', p_size / 4.0) || ')' AS label FROM part")
 def file_names_and_labels(t: Tables) -> DataFrame:
     """T47, T51."""
@@ -555,12 +439,6 @@ def event_timeline(t: Tables) -> DataFrame:
     return lineage.timeline(t.events, "user_id", "ts").select("event_id", "n")
 
 
-@R.add(f"SELECT p_partkey, {wanted('time-critical', 'evidence-conflict,safety-signal', '', 'new-evidence')} AS raised FROM part")
-def question_triggers(t: Tables) -> DataFrame:
-    """Triggers that a question raises."""
-    return keyed(t, raised=F.array_join(lineage.inferred_triggers(said("an Urgent case of @", "adverse conflict", "@ of #", "an update")), ","))
-
-
 @R.add("SELECT s_suppkey, 'SUP::' || s_suppkey AS id, CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE CAST(s_suppkey AS VARCHAR) END AS term FROM supplier")
 def preferred_terms(t: Tables) -> DataFrame:
     """The preferred term of a concept, else its code."""
