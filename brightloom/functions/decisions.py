@@ -132,10 +132,10 @@ def case_ok(layers: Column) -> Column:
     return F.forall(layers, lambda x: ~x["critical"])
 
 
-def quality_audit(records: DataFrame) -> DataFrame:
-    """``rule, id`` for each record that fails one of five rules: duplicate pmid, validated without
+def quality_audit(records: DataFrame, expected: DataFrame | None = None, found: DataFrame | None = None) -> DataFrame:
+    """``id, rule`` for each record that fails one of five rules: duplicate pmid, validated without
     doi, core without title or validation, top ten not validated, guideline without a primary source.
-    (The sixth asks for output files; ``readers.files`` answers it.)"""
+    With ``expected`` and ``found`` output files (name, size), a sixth: files that are missing or empty."""
     validated = F.startswith("validation_status", F.lit("validated"))
     copies = F.count("*").over(Window.partitionBy("pmid"))
     rules = {
@@ -145,8 +145,13 @@ def quality_audit(records: DataFrame) -> DataFrame:
         "top10-status": (F.col("priority_rank") <= 10) & ~F.col("validation_status").isin(SOUND),
         "guideline-source": (F.col("domain_group") == "guideline_trunk") & ~F.coalesce(F.col("source_of_truth").isin(PRIMARY_SOURCES), F.lit(False)),
     }
-    found = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in rules.items()]))
-    return records.withColumn("_copies", copies).select("id", F.explode(found).alias("rule"))
+    broken = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in rules.items()]))
+    issues = records.withColumn("_copies", copies).select("id", F.explode(broken).alias("rule"))
+    if expected is None or found is None:
+        return issues
+    there = found.where("size > 0").select("name").distinct()
+    absent = expected.select("name").distinct().join(there, "name", "left_anti")
+    return issues.select(F.col("id").cast("string").alias("id"), "rule").unionByName(absent.select(F.col("name").alias("id"), F.lit("missing-output").alias("rule")))
 
 
 def package_links(objects: DataFrame, package: str) -> DataFrame:

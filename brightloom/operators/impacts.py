@@ -9,6 +9,7 @@ result. A query word may be any part of a term, so words are first looked up in
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -68,10 +69,12 @@ def write_index(concepts: DataFrame, key: str, label: str, text: str, extra: Col
     blocks = max(1, -(-rows.count() // BLOCK))
     label_terms = terms(F.col("label"))
     begins = F.regexp_extract("label", "^[a-z0-9]+", 0)
-    posted = rows.select("id", "extra", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), label_terms.alias("of_label"), begins.alias("begins"), tx.tokens("text").alias("words"), F.explode(F.array_distinct(F.concat(terms(F.col("text")), label_terms))).alias("term"))
+    # The lists are made before the rows are exploded: what stands beside explode() is worked out for each of its rows.
+    listed = rows.select("id", "extra", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), label_terms.alias("of_label"), begins.alias("begins"), tx.tokens("text").alias("words"), F.concat(terms(F.col("text")), label_terms).alias("terms"))
+    posted = listed.select("id", "extra", "block", "of_label", "begins", "words", F.explode("terms").alias("term"))
     flags = F.struct("id", "extra", (F.col("begins") == F.col("term")).alias("begins"), F.array_contains("of_label", F.col("term")).alias("label"), F.array_contains("words", F.col("term")).alias("word"))
     grouped = posted.select("term", "block", flags.alias("p")).groupBy("term", "block").agg(
-        F.collect_list("p").alias("postings"), F.max("p.extra").alias("extra"), F.bool_or("p.begins").alias("begins"), F.bool_or("p.label").alias("label"), F.bool_or("p.word").alias("word"))
+        F.collect_set("p").alias("postings"), F.max("p.extra").alias("extra"), F.bool_or("p.begins").alias("begins"), F.bool_or("p.label").alias("label"), F.bool_or("p.word").alias("word"))
     grouped.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.parquet(f"{path}/postings")
     return read_index(spark, path)
 
@@ -86,33 +89,35 @@ def _adds(w: Weights, begins: Column, label: Column, word: Column) -> Column:
     return F.when(begins, w.begins).when(label, w.label).otherwise(w.any) + F.when(word, w.word).otherwise(0)
 
 
-def search(index: Index, queries: DataFrame, query_id: str, text: str, k: int, weights: Weights = INDEX_SEARCH) -> tuple[DataFrame, DataFrame]:
+def search(index: Index, queries: DataFrame, query_id: str, text: str, k: int, weights: Weights = INDEX_SEARCH, stop: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """The ``k`` best concepts of each query as ``query_id, rank, key, score`` (equal scores by key), and for
     each query how many blocks hold a match and how many were read (``blocks, read``).
 
-    A query's words are its distinct terms (see ``terms``); queries without one give no rows. Query ids are
-    distinct.
+    A query's words are those of T04, without ``stop``; queries without one give no rows. Query ids are
+    distinct. Each distinct word is looked up once, however many queries have it.
     """
     w = weights
-    asked = written(queries.select(F.col(query_id).alias("q"), F.coalesce(tx.fold(text), F.lit("")).alias("phrase"), F.array_distinct(terms(F.col(text))).alias("words")).where(F.size("words") > 0))
-    words = asked.select("q", F.posexplode("words").alias("place", "t"))
+    asked = queries.select(F.col(query_id).alias("q"), F.coalesce(tx.fold(text), F.lit("")).alias("phrase"), tx.tokens(text, stop).alias("words")).where(F.size("words") > 0)
+    # Where the phrase doesn't begin with the first word, any label might begin with the phrase.
+    asked = written(asked.withColumn("open", F.regexp_extract("phrase", "^[a-z0-9]+", 0) != F.get("words", F.lit(0))))
+    words = asked.select("q", "open", F.posexplode("words").alias("place", "t"))
     vocabulary = index.postings.select("term").distinct()
-    parts = occurrences(vocabulary.withColumn("v", F.col("term")), "v", "term", words.select("t").distinct(), "t").toDF("term", "t")
-    parts = written(words.join(parts, "t").select("q", "place", "t", "term"))
+    parts = written(occurrences(vocabulary.withColumn("v", F.col("term")), "v", "term", words.select("t").distinct(), "t").toDF("term", "t"))
     same, starts = F.col("term") == F.col("t"), F.startswith("term", F.col("t"))
-    hits = parts.join(index.postings, "term")
-    bound = hits.groupBy("q", "block", "t", "place").agg(F.bool_or(starts & F.col("begins")).alias("begins"), F.bool_or("label").alias("label"), F.bool_or(same & F.col("word")).alias("word"), F.max("extra").alias("extra"))
-    bound = bound.withColumn("adds", _adds(w, F.col("begins"), F.col("label"), F.col("word")) + F.when(F.col("begins") & (F.col("place") == 0), max(w.equal, w.phrase)).otherwise(0))
-    bounds = bound.groupBy("q", "block").agg(F.sum("adds").alias("adds"), F.max("extra").alias("extra"), F.count("*").alias("n"))
+    of_block = parts.join(index.postings.drop("postings"), "term").groupBy("t", "block").agg(F.bool_or(starts & F.col("begins")).alias("begins"), F.bool_or("label").alias("label"), F.bool_or(same & F.col("word")).alias("word"), F.max("extra").alias("extra"))
+    bound = words.join(written(of_block), "t")
+    more = F.when(F.col("begins") & (F.col("place") == 0) | F.col("open"), max(w.equal, w.phrase)).otherwise(0)
+    bounds = bound.groupBy("q", "block").agg((F.sum(_adds(w, F.col("begins"), F.col("label"), F.col("word"))) + F.max(more)).alias("adds"), F.max("extra").alias("extra"), F.count("*").alias("n"))
     if w.all:
         bounds = bounds.join(asked.select("q", F.size("words").alias("all")), "q").where(F.col("n") == F.col("all"))
     ceiling = F.col("adds") + F.col("extra") if w.least is None else F.greatest(F.col("adds") + F.col("extra"), F.lit(float(w.least)))
     bounds = written(bounds.select("q", "block", ceiling.alias("bound")))
 
     def scored(chosen: DataFrame) -> DataFrame:
-        rows = hits.join(chosen.select("q", "block"), ["q", "block"]).select("q", "t", "term", F.explode("postings").alias("p"))
-        each = rows.groupBy("q", "p.id", "t").agg(F.bool_or(starts & F.col("p.begins")).alias("begins"), F.bool_or("p.label").alias("label"), F.bool_or(same & F.col("p.word")).alias("word"), F.max("p.extra").alias("extra"))
-        total = each.groupBy("q", "id").agg(F.sum(_adds(w, F.col("begins"), F.col("label"), F.col("word"))).alias("adds"), F.max("extra").alias("extra"), F.count("*").alias("n"))
+        pairs = words.join(chosen.select("q", "block"), "q")
+        rows = pairs.select("t", "block").distinct().join(parts, "t").join(index.postings.select("term", "block", "postings"), ["term", "block"])
+        each = rows.select("t", "block", "term", F.explode("postings").alias("p")).groupBy("t", "block", "p.id").agg(F.bool_or(starts & F.col("p.begins")).alias("begins"), F.bool_or("p.label").alias("label"), F.bool_or(same & F.col("p.word")).alias("word"), F.max("p.extra").alias("extra"))
+        total = pairs.join(each, ["t", "block"]).groupBy("q", "id").agg(F.sum(_adds(w, F.col("begins"), F.col("label"), F.col("word"))).alias("adds"), F.max("extra").alias("extra"), F.count("*").alias("n"))
         full = total.join(asked.select("q", "phrase", F.size("words").alias("all")), "q").join(index.concepts.select("id", "key", F.col("label").alias("name")), "id")
         if w.all:
             full = full.where(F.col("n") == F.col("all"))

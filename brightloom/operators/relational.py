@@ -124,6 +124,23 @@ def differing_within(df: DataFrame, group: str, by: str, key: str) -> DataFrame:
     return df.join(totals, [group, by]).withColumn("n_differing", F.col("_all") - F.col("_n")).select(*df.columns, "n_differing")
 
 
+def challenges(df: DataFrame, group: str, stance: str, score: str, key: str, most: int | None = None, neutral: str = "mixed") -> DataFrame:
+    """In each group with two stances or more besides the neutral one, the preferred row (the
+    highest score, then the least key) against each row of another stance, the best first if at most
+    ``most`` are asked for: ``group, preferred, preferred_stance, preferred_score, challenger, challenger_stance,
+    challenger_score``, then their ``place``. A group has as many pairs as challengers, never all pairs. Rows without a
+    stance, score or key take no part."""
+    rows = df.where(F.col(stance).isNotNull() & F.col(score).isNotNull() & F.col(key).isNotNull())
+    mine = F.struct(F.col(score).alias("s"), F.col(key).alias("k"), F.col(stance).alias("t"))
+    best = rows.groupBy(group, stance).agg(F.min_by(mine, F.struct(-F.col(score), F.col(key))).alias("b"))
+    sides = F.count_if(F.col(stance) != neutral)
+    best = best.groupBy(group).agg(F.min_by("b", F.struct(-F.col("b.s"), F.col("b.k"))).alias("b"), sides.alias("sides")).where("sides > 1")
+    pairs = rows.alias("c").join(best.alias("p"), F.col(f"c.{group}").eqNullSafe(F.col(f"p.{group}")) & (F.col(f"c.{stance}") != F.col("p.b.t")))
+    out = pairs.select(F.col(f"c.{group}").alias(group), F.col("b.k").alias("preferred"), F.col("b.t").alias("preferred_stance"), F.col("b.s").alias("preferred_score"), F.col(f"c.{key}").alias("challenger"), F.col(f"c.{stance}").alias("challenger_stance"), F.col(f"c.{score}").alias("challenger_score"))
+    place = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("challenger_score"), "challenger"))
+    return out if most is None else out.withColumn("place", place).where(F.col("place") <= most)
+
+
 # --- Rollups (A) ----------------------------------------------------------------------------------
 
 

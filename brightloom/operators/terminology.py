@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as tx
 from .crawl import crawl
+from .linkage import written
 
 
 @dataclass
@@ -100,6 +101,33 @@ def ingest_status(found: DataFrame, known: DataFrame) -> DataFrame:
     return found.join(k, "system", "left").withColumn("status", status).drop("_known")
 
 
+def ingest(spark: SparkSession, parsers: Mapping[str, Callable[[], Terms]], found: DataFrame, known: DataFrame) -> tuple[dict[str, Terms], DataFrame, DataFrame]:
+    """Run the parser of each system, one after the other, and go on where one fails.
+
+    ``found`` has the digest of each system's files (null: none) and ``known`` that of the last good run.
+    Returns the terms of the systems that went well, written; ``system, status, rows, digest``, with
+    status SKIPPED (no files; not parsed), UNCHANGED, PROCESSED or ERROR (no rows); and ``system,
+    error_type, message`` of those that failed. A failed system's digest isn't to be kept as known.
+    """
+    statuses = {r.system: r for r in ingest_status(found, known).where(F.col("system").isin(*parsers)).collect()}  # a row a parser
+    terms, rows, errors = {}, [], []
+    for system, parse in parsers.items():
+        state = statuses.get(system)
+        if state is None or state.status == "SKIPPED":
+            rows.append((system, "SKIPPED", 0, None))
+            continue
+        try:
+            parsed = Terms(*[None if df is None else written(df) for df in vars(parse()).values()])
+            n = sum(df.count() for df in vars(parsed).values() if df is not None)
+        except Exception as e:  # noqa: BLE001 - whatever a system's files do, the others go on
+            rows.append((system, "ERROR", 0, state.digest))
+            errors.append((system, type(e).__name__, str(e)[:1000]))
+            continue
+        terms[system] = parsed
+        rows.append((system, state.status, n, state.digest))
+    return terms, spark.createDataFrame(rows, "system string, status string, rows long, digest string"), spark.createDataFrame(errors, "system string, error_type string, message string")
+
+
 def search(terms: DataFrame, query: str, columns: Sequence[str], limit: int = 50) -> DataFrame:
     """Rows with the text in any column, in any case, ordered by the columns."""
     low = query.lower()

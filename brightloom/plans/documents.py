@@ -155,7 +155,7 @@ def browser_search(t: Tables) -> DataFrame:
 #: Folded text in DuckDB, as T02 folds it.
 FOLDED = "trim(regexp_replace(lower(translate(regexp_replace({c}, '\\p{{M}}+', '', 'g'), '" + tx.ACCENTED + "', '" + tx.PLAIN + "')), '\\s+', ' ', 'g'))"
 CONCEPTS = f"""d AS (SELECT doc_id, lang, source, n_chars, {FOLDED.format(c="substring(text, 1, 60)")} AS l, {FOLDED.format(c="text")} AS h, list_filter(regexp_extract_all(h, '[a-z0-9]+'), lambda x: length(x) > 1) AS w0 FROM documents)"""
-ASKED = f"""q AS (SELECT item_id, {FOLDED.format(c="array_to_string(list_slice(string_split(text, ' '), 1, {n}), ' ')")} AS p, list_distinct(regexp_extract_all(p, '[a-z0-9]+')) AS ts FROM benchmark)"""
+ASKED = f"""q AS (SELECT item_id, {FOLDED.format(c="array_to_string(list_slice(string_split(text, ' '), 1, {n}), ' ')")} AS p, list_distinct(list_filter(regexp_extract_all(p, '[a-z0-9]+'), lambda x: length(x) > 1)) AS ts FROM benchmark)"""
 
 
 def _concepts(t: Tables, extra) -> impacts.Index:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions import schemas as s
-from ..operators import crawl, lineage
+from ..functions import decisions as de, schemas as s
+from ..operators import crawl, lineage, relational as op, terminology
 from ..operators.linkage import new_path
-from ..sources import acquire, paged
+from ..sources import acquire, paged, writers
 from ..sources.store import Conflict, DocumentStore, upserted
 from .base import Registry, Tables
 
@@ -145,3 +145,55 @@ def acquired_files(t: Tables) -> DataFrame:
         acquire.acquire(asked, target)
     got = t.spark.read.format("binaryFile").load(target)
     return got.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+
+
+@R.add("""WITH b AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders), p AS (SELECT * FROM b WHERE r = 1)
+SELECT * FROM (SELECT b.o_orderpriority, p.o_orderkey AS preferred, p.o_orderstatus AS preferred_stance, p.o_totalprice AS preferred_score, b.o_orderkey AS challenger, b.o_orderstatus AS challenger_stance, b.o_totalprice AS challenger_score,
+CAST(row_number() OVER (PARTITION BY b.o_orderpriority ORDER BY b.o_totalprice DESC, b.o_orderkey) AS INTEGER) AS place FROM b JOIN p ON p.o_orderpriority = b.o_orderpriority AND p.o_orderstatus <> b.o_orderstatus) WHERE place <= 25""")
+def stance_challenges(t: Tables) -> DataFrame:
+    """Orders that challenge the preferred one of their priority."""
+    return op.challenges(t.orders, "o_orderpriority", "o_orderstatus", "o_totalprice", "o_orderkey", 25, neutral="P")
+
+
+@R.add("""SELECT 'FULL' AS system, 'PROCESSED' AS status, 2 * count(*) AS rows, '' AS error FROM part UNION ALL SELECT 'SAME', 'UNCHANGED', 2 * count(*), '' FROM nation UNION ALL SELECT 'NONE', 'SKIPPED', 0, '' UNION ALL SELECT 'BAD', 'ERROR', 0, 'bad size' FROM part HAVING max(p_size) > 0""")
+def ingest_errors(t: Tables) -> DataFrame:
+    """One of four systems fails while its rows are read; the others go on."""
+
+    def parsed(rows: DataFrame, system: str) -> terminology.Terms:
+        return terminology.Terms(terminology.concepts(rows, system, "v1"), terminology.descriptions(rows, system, F.lit("preferred")), rows.limit(0))
+
+    parts = t.part.select(F.col("p_partkey").cast("string").alias("code"), F.col("p_name").alias("term"), "p_size")
+    nations = t.nation.select(F.col("n_nationkey").cast("string").alias("code"), F.col("n_name").alias("term"))
+    broken = parts.withColumn("term", F.when(F.col("p_size") > 0, F.raise_error(F.lit("bad size"))).otherwise(F.col("term")))
+    parsers = {"FULL": lambda: parsed(parts, "FULL"), "SAME": lambda: parsed(nations, "SAME"), "BAD": lambda: parsed(broken, "BAD"), "NONE": lambda: parsed(nations, "NONE")}
+    found = t.spark.createDataFrame([("FULL", "1"), ("SAME", "2"), ("BAD", "3"), ("NONE", None)], "system string, digest string")
+    known = t.spark.createDataFrame([("FULL", "0"), ("SAME", "2")], "system string, digest string")
+    _, states, errors = terminology.ingest(t.spark, parsers, found, known)
+    said = errors.select("system", F.when(F.contains("message", F.lit("bad size")), "bad size").otherwise("other").alias("error"))
+    return states.join(said, "system", "left").select("system", "status", "rows", F.coalesce("error", F.lit("")).alias("error"))
+
+
+@R.add("""SELECT CAST(doc_id AS VARCHAR) AS id, 'duplicate-pmid' AS rule FROM (SELECT doc_id, count(*) OVER (PARTITION BY md5(text)) AS n FROM documents) WHERE n > 1 UNION ALL SELECT CAST(doc_id AS VARCHAR), 'guideline-source' FROM documents WHERE lang = 'fr' UNION ALL SELECT 'absent.txt', 'missing-output'""")
+def output_audit(t: Tables) -> DataFrame:
+    """An audit of records and of the files that should be there."""
+    folder = new_path(t.spark)
+    _named_files(t.documents.groupBy("source").agg(F.count("*").alias("n")).select(F.concat("source", F.lit(".txt")).alias("name"), F.col("n").cast("string").alias("value")), folder)
+    listed = t.spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"))
+    expected = t.documents.select(F.concat("source", F.lit(".txt")).alias("name")).distinct().unionByName(t.spark.createDataFrame([("absent.txt",)], "name string"))
+    records = t.documents.select(F.col("doc_id").alias("id"), F.md5("text").alias("pmid"), F.lit("d").alias("doi"), F.lit("t").alias("title"), F.lit("validated_primary").alias("validation_status"), F.lit("other").alias("tier"),
+                                 F.col("doc_id").alias("priority_rank"), F.when(F.col("lang") == "fr", "guideline_trunk").otherwise("x").alias("domain_group"), F.lit("blog").alias("source_of_truth"))
+    return de.quality_audit(records, expected, listed)
+
+
+@R.add("""SELECT 'CodeSystem' AS kind, CAST(p_partkey AS VARCHAR) AS code, CASE WHEN p_size > 10 THEN p_name ELSE CAST(p_partkey AS VARCHAR) END AS display FROM part UNION ALL SELECT 'ConceptMap', 'P::' || p_partkey, p_brand || '/exact' FROM part""")
+def whole_bundles(t: Tables) -> DataFrame:
+    """Whole code systems and concept maps, read back as single documents."""
+    folder = new_path(t.spark)
+    rows = t.part.select(F.col("p_partkey").cast("string").alias("code"), F.when(F.col("p_size") > 10, F.col("p_name")).alias("term"), F.col("p_brand").alias("target_code"))
+    a = writers.code_system_bundle(terminology.concepts(rows, "P", "v1"), terminology.descriptions(rows, "P", F.lit("preferred")), "P", "v1", "https://local/fhir", f"{folder}/system.json")
+    b = writers.concept_map_bundle(terminology.mappings(rows, "P", "B", "exact"), "P", "v1", "https://local/fhir", f"{folder}/map.json")
+    system = t.spark.read.schema("resourceType string, concept array<struct<code:string,display:string>>").json(a, multiLine=True)
+    maps = t.spark.read.schema("resourceType string, group array<struct<source:string,target:string,element:array<struct<code:string,target:array<struct<code:string,equivalence:string>>>>>>").json(b, multiLine=True)
+    codes = system.select(F.col("resourceType").alias("kind"), F.explode("concept").alias("c")).select("kind", "c.code", "c.display")
+    elements = maps.select(F.col("resourceType").alias("kind"), F.explode("group").alias("g")).select("kind", F.explode("g.element").alias("e"))
+    return codes.unionByName(elements.select("kind", "e.code", F.concat_ws("/", F.get("e.target", F.lit(0))["code"], F.get("e.target", F.lit(0))["equivalence"]).alias("display")))

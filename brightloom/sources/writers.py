@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..operators.crawl import numbered
+
 
 def fixed_header(df: DataFrame, header: Sequence[str]) -> DataFrame:
     """The columns of ``header`` in order, missing ones and nulls as empty strings."""
@@ -55,3 +58,46 @@ def concept_maps(mappings: DataFrame) -> DataFrame:
     targets = F.array_sort(F.collect_list(F.struct(F.col("target_code").alias("code"), F.col("mapping_type").alias("relationship"))))
     grouped = mappings.groupBy("system", "target_system", "source_concept_id").agg(targets.alias("target"))
     return grouped.select("system", F.to_json(F.struct(F.lit("ConceptMap").alias("resourceType"), F.col("system").alias("sourceUri"), F.col("target_system").alias("targetUri"), F.array(F.struct(F.col("source_concept_id").alias("code"), "target")).alias("element"))).alias("value"))
+
+
+def bundle(rows: DataFrame, order: Sequence[str], head: dict, array: str, path: str) -> str:
+    """One JSON document at ``path``: the fields of ``head``, and the rows' ``value`` texts in order as
+    the elements of ``array``. Tasks write the elements; the driver passes their files on, some bytes at a
+    time, so the document may have any size."""
+    spark = rows.sparkSession
+    lines = numbered(rows.select(*dict.fromkeys(["value", *order])), order, "_n").select("_n", F.when(F.col("_n") == 1, F.col("value")).otherwise(F.concat(F.lit(","), "value")).alias("value"))
+    lines.repartitionByRange("_n").sortWithinPartitions("_n").select("value").write.text(f"{path}.parts")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    files = jvm.org.apache.hadoop.fs
+    folder, target = files.Path(f"{path}.parts"), files.Path(path)
+    system = target.getFileSystem(conf)
+    out = system.create(target, False)
+    try:
+        out.write(bytearray(f"{json.dumps(head)[:-1]}{', ' if head else ''}{json.dumps(array)}: [\n".encode()))
+        for name in sorted(f.getPath().getName() for f in system.listStatus(folder) if f.getPath().getName().startswith("part-")):
+            part = system.open(files.Path(folder, name))
+            jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, conf, False)
+            part.close()
+        out.write(bytearray(b"]}\n"))
+    finally:
+        out.close()
+    system.delete(folder, True)
+    return path
+
+
+def code_system_bundle(concepts: DataFrame, descriptions: DataFrame, system: str, version: str, base: str, path: str) -> str:
+    """A whole FHIR CodeSystem: all concepts of a system's version by code, with their preferred
+    terms, else their codes; ``base`` begins its address."""
+    first = descriptions.where((F.col("type") == "preferred") & (F.col("system") == system)).groupBy("concept_id").agg(F.min("term").alias("display"))
+    mine = concepts.where((F.col("system") == system) & (F.col("version") == version))
+    joined = mine.join(first, mine["id"] == first["concept_id"], "left")
+    rows = joined.select("code", F.to_json(F.struct("code", F.coalesce("display", "code").alias("display"))).alias("value"))
+    return bundle(rows, ["code", "value"], {"resourceType": "CodeSystem", "url": f"{base}/CodeSystem/{system.lower()}", "version": version, "status": "draft", "content": "complete"}, "concept", path)
+
+
+def concept_map_bundle(mappings: DataFrame, system: str, version: str, base: str, path: str) -> str:
+    """A whole FHIR ConceptMap: a group for each mapping of a system."""
+    target = F.array(F.struct(F.col("target_code").alias("code"), F.col("mapping_type").alias("equivalence")))
+    group = F.struct(F.col("system").alias("source"), F.col("target_system").alias("target"), F.array(F.struct(F.col("source_concept_id").alias("code"), target.alias("target"))).alias("element"))
+    rows = mappings.where(F.col("system") == system).select("source_concept_id", F.to_json(group).alias("value"))
+    return bundle(rows, ["source_concept_id", "value"], {"resourceType": "ConceptMap", "url": f"{base}/ConceptMap/{system.lower()}-{version}", "status": "draft"}, "group", path)
