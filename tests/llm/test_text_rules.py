@@ -38,24 +38,45 @@ def test_chat_round_trip(spark):
     assert chat.chat_digests(df.limit(0)).count() == 0
 
 
-def plain_repeats(words):
-    n = len(words)
-    best = [0] * n
-    for i in range(n):
-        for j in range(n):
+def plain_repeats(symbols, width):
+    """Where ``width`` symbols recur, and the longest repeat from there on, by comparing all pairs."""
+    best = {}
+    for i in range(len(symbols)):
+        for j in range(len(symbols)):
             k = 0
-            while i != j and max(i, j) + k < n and words[i + k] == words[j + k]:
+            while i != j and max(i, j) + k < len(symbols) and symbols[i + k] == symbols[j + k]:
                 k += 1
-            best[i] = max(best[i], k)
+            if k >= width:
+                best[i] = max(best.get(i, 0), k)
     return best
 
 
-@given(st.lists(st.lists(st.integers(0, 3), max_size=14), max_size=5))
-@settings(max_examples=200, deadline=None)
-def test_longest_repeats(docs):
-    words = np.array([w for d in docs for w in d], np.int64)
-    numbers = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-    assert quality.longest_repeats(words, numbers).tolist() == [b for d in docs for b in plain_repeats(d)]
+@given(st.lists(st.lists(st.integers(0, 2), max_size=24), min_size=1, max_size=5), st.integers(1, 4))
+@settings(max_examples=300, deadline=None)
+def test_repeats(docs, width):
+    symbols, counts = np.array([w for d in docs for w in d], np.int64), np.array([len(d) for d in docs])
+    borders, ends = quality._ends(counts)
+    places, classes = quality.recurring(symbols, ends, width)
+    want = [plain_repeats(d, width) for d in docs]
+    assert places.tolist() == [int(borders[k]) + i for k, best in enumerate(want) for i in sorted(best)]
+    owner = np.repeat(np.arange(len(docs)), counts)
+    for i, a in zip(places.tolist(), classes.tolist(), strict=True):
+        for j, b in zip(places.tolist(), classes.tolist(), strict=True):
+            assert (a == b) == (owner[i] == owner[j] and symbols[i : i + width].tolist() == symbols[j : j + width].tolist())
+    found = quality.longest(places, classes, owner, width).tolist()
+    assert (found + [0] * len(docs))[: len(docs)] == [max(best.values(), default=0) for best in want]
+
+
+def test_texts_of_equal_hash_are_told_apart(monkeypatch):
+    """With a base that makes all windows of equal sums collide, the symbols themselves decide."""
+    monkeypatch.setattr(quality, "BASE", 1)
+    monkeypatch.setattr(quality, "INVERSE", 1)
+    symbols = np.array([1, 2, 3, 3, 2, 1, 2, 2, 2, 1, 2, 3, 2, 1, 3], np.int64)
+    places, classes = quality.recurring(symbols, np.full(len(symbols), len(symbols)), 3)
+    groups = {}
+    for p, c in zip(places.tolist(), classes.tolist(), strict=True):
+        groups.setdefault(c, []).append(symbols[p : p + 3].tolist())
+    assert sorted(plain_repeats(symbols.tolist(), 3)) == places.tolist() and all(g.count(g[0]) == len(g) for g in groups.values())
 
 
 def plain_quality(text):
@@ -71,26 +92,20 @@ def plain_quality(text):
 
 
 def plain_verdict(text):
-    """Covered share and longest repeat in characters, by comparing all pairs of places."""
-    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
-    symbols = [c for w in words for c in ([w] if len(w.encode()) <= 40 else w)]
-    covered, longest = set(), 0
-    places = {}
-    for i, w in enumerate(symbols):
-        places.setdefault(w, []).append(i)
-    for i in range(len(symbols)):
-        k = 0
-        for j in places[symbols[i]]:
-            n = 0
-            while i != j and max(i, j) + n < len(symbols) and symbols[i + n] == symbols[j + n]:
-                n += 1
-            k = max(k, n)
-        chars = sum(map(len, symbols[i : i + k]))
-        longest = max(longest, chars)
-        if chars >= 30:
-            covered |= set(range(i, i + k))
-    total = sum(map(len, symbols))
-    return sum(len(symbols[i]) for i in covered) / total if total else 0.0, longest
+    """Covered share and longest repeat in characters, by comparing places of equal beginnings."""
+    symbols = "".join(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
+    places, covered, longest = {}, set(), 0
+    for i in range(len(symbols) - 29):
+        places.setdefault(symbols[i : i + 30], []).append(i)
+    for at in places.values():
+        for i in at if len(at) > 1 else ():
+            covered |= set(range(i, i + 30))
+            for j in at:
+                n = 30
+                while i < j and j + n < len(symbols) and symbols[i + n] == symbols[j + n]:
+                    n += 1
+                longest = max(longest, n)
+    return len(covered) / len(symbols) if symbols else 0.0, longest
 
 
 def test_quality(awkward, documents, empty):
@@ -117,11 +132,30 @@ def test_repeats_that_the_base_rules_miss(spark):
     assert not any(x.base_failed for x in r)
     assert [x.kept for x in r] == [False, True, False, True, False, False, False]
     assert [(x.longest_repeat, x.covered_fraction > 0.15) for x in r][:3] == [(290, False), (0, False), (400, True)]
+    assert r[6].longest_repeat == 2999
+
+
+def test_verdicts_do_not_depend_on_the_length_of_words(spark):
+    rest = " ".join(f"u{i}" for i in range(40))
+    texts = [" ".join("stem" * 8 + "xyz"[: n - 32] + f"{i:05d}" for i in range(20)) + f" {rest}" for n in (32, 33, 34, 35)]
+    r = quality.quality(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [x.kept for x in r] == [False] * 4 and all(x.covered_fraction > 0.7 for x in r)
+
+
+def test_limits_beyond_any_depth(spark):
+    passage, rest = "".join(f"{i:05d}" for i in range(800)), " ".join(f"word{i}" for i in range(9000))
+    df = spark.createDataFrame([(1, f"{passage} {rest} {passage}")], "doc_id long, text string")
+    row = quality.quality(df, max_longest=3000).first()
+    assert (row.longest_repeat, row.base_failed, row.kept) == (4000, False, False)
+    assert quality.quality(df, max_longest=4000).first().kept
 
 
-def test_longest_repeats_of_a_very_long_text():
-    words = np.tile(np.arange(1000), 3000)  # 3 million symbols in one text, all repeats
-    assert (quality.longest_repeats(words, np.zeros(len(words), np.int64))[:-1000] >= quality.REACH).all()
+def test_a_very_long_text_that_is_all_repeats():
+    symbols = np.tile(np.arange(1000), 3000)  # 3 million symbols
+    ends = np.full(len(symbols), len(symbols))
+    places, classes = quality.recurring(symbols, ends, 30)
+    assert len(places) == len(symbols) - 29
+    assert quality.longest(places, classes, np.zeros(len(symbols), np.int64), 30).tolist() == [len(symbols) - 1000]
 
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
