@@ -72,8 +72,8 @@ def first_contained(df: DataFrame, text: str, lexicon: DataFrame, name: str = "l
     best = low.groupBy("word").agg(F.min("entry").alias("entry"))
     empty = best.where("word = ''").select("entry.*").first()
     least = F.struct(*[F.lit(v).cast(t).alias(n) for n, t, v in zip(("place", "w", "label"), ("long", "string", "string"), empty or (None, None, None), strict=True)])
-    out = df.select(F.struct("*").alias("row"), F.lower(F.col(text).cast("string")).alias("text"), least.alias("best"))
-    schema = out.schema
+    out = df.select(F.struct("*").alias("row"), least.alias("best"))
+    schema, passed = out.schema, False
     for block in _blocks(best.where("word <> ''").select("word", F.struct("entry.place", "entry.w", "entry.label").alias("value"))):
 
         def run(batches: Iterator[pa.RecordBatch], block: _Block = block) -> Iterator[pa.RecordBatch]:
@@ -86,10 +86,12 @@ def first_contained(df: DataFrame, text: str, lexicon: DataFrame, name: str = "l
                         if least is None or (value[0], value[1]) < least[:2]:
                             least = tuple(value)
                     best.append(dict(zip(("place", "w", "label"), least or (None, None, None), strict=True)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(best, batch.schema.field(2).type)], schema=batch.schema)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best, batch.schema.field(2).type)], names=["row", "best"])
 
-        out = written(out.mapInArrow(run, schema))
-    label = F.when(F.col("text").isNotNull(), F.col("best.label"))
+        if passed:  # one automaton at a time; a lexicon of one block writes nothing
+            out = written(out)
+        out, passed = out.select("row", F.lower(F.col("row")[text].cast("string")).alias("text"), "best").mapInArrow(run, schema), True
+    label = F.when(F.col("row")[text].isNotNull(), F.col("best.label"))
     return out.select(*[F.col("row")[c].alias(c) for c in df.columns if c != name], label.alias(name))
 
 
