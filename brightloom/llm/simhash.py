@@ -33,6 +33,9 @@ MAX_BITS = 3
 BLOCK = 2048
 #: Bits of a part's value that its histogram keeps, so that one has at most 2 ** 16 counts.
 HISTOGRAM_BITS = 16
+#: Values of wider parts whose own counts are broadcast, the most common ones first; any other value has at
+#: most one fingerprint in so many.
+HOT_VALUES = 1 << 14
 
 
 def fingerprint(words: list[bytes], shingle: int = SHINGLE) -> int:
@@ -122,25 +125,100 @@ def _masks(width: int, most: int) -> list[np.ndarray]:
     return [np.array([sum(1 << b for b in c) for c in combinations(range(width), t)], np.int64) for t in range(most + 1)]
 
 
-def thresholds(values: np.ndarray, groups: list[list[int]], histograms: list[np.ndarray], bits: int) -> np.ndarray:
+class Crowds:
+    """How many fingerprints are indexed at a value of a part, and how many probe it.
+
+    A part whose histogram keeps only its first bits has their counts spread evenly over the bits left out,
+    but for the values in ``hot``, whose own counts are known.
+    """
+
+    def __init__(self, groups: list[list[int]], histograms: list[np.ndarray], hot: list[dict[int, int]]) -> None:
+        self.histograms, self.kept, self.wide, self.low, self.reach, self.own, self.near = histograms, [], [], [], [], [], []
+        for group, counts, of in zip(groups, histograms, hot, strict=True):
+            kept = len(counts).bit_length() - 1
+            self.kept.append(kept)
+            self.wide.append(len(group) - kept)
+            self.low.append((1 << kept) - 1)
+            # Probes come from fingerprints of the value itself and of those one bit away (farther probes
+            # are rare: thresholds over 1 cost hundreds of look-ups each).
+            at = np.arange(len(counts))
+            self.reach.append(counts * (1 + self.wide[-1]) + sum((counts[at ^ (1 << b)] for b in range(kept)), np.zeros_like(counts)))
+            near: dict[int, int] = dict(of)
+            for value, n in of.items():
+                for b in range(len(group)):
+                    near[value ^ (1 << b)] = near.get(value ^ (1 << b), 0) + n
+            self.own.append(self._sorted(of))
+            self.near.append(self._sorted(near))
+
+    @staticmethod
+    def _sorted(table: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        keys = np.array(sorted(table), np.int64)
+        return keys, np.array([table[k] for k in keys.tolist()], np.int64)
+
+    @staticmethod
+    def _known(table: tuple[np.ndarray, np.ndarray], values: np.ndarray, expected: np.ndarray) -> np.ndarray:
+        keys, counts = table
+        if not len(keys):
+            return expected
+        at = np.minimum(np.searchsorted(keys, values), len(keys) - 1)
+        return np.where(keys[at] == values, np.maximum(counts[at], expected), expected)
+
+    def rows(self, g: int, values: np.ndarray) -> np.ndarray:
+        return self._known(self.own[g], values, self.histograms[g][values & self.low[g]] >> self.wide[g])
+
+    def probes(self, g: int, values: np.ndarray) -> np.ndarray:
+        return self._known(self.near[g], values, self.reach[g][values & self.low[g]] >> self.wide[g])
+
+    def blocks(self, g: int, values: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+        """Into how many blocks the indexed rows and the probes of each value are dealt."""
+        rows, probes = (np.minimum(4095, 1 + n // block) for n in (self.rows(g, values), self.probes(g, values)))
+        return rows, probes
+
+
+def hot_values(fps: DataFrame, groups: list[list[int]], histograms: list[np.ndarray], block: int) -> list[dict[int, int]]:
+    """For each part, its values that more than ``block`` fingerprints have, with their counts, if the
+    histogram doesn't tell; at most ``HOT_VALUES`` in all, the most common ones."""
+    out: list[dict[int, int]] = [{} for _ in groups]
+    wide = [len(h) < 1 << len(g) for g, h in zip(groups, histograms, strict=True)]
+    if not any(wide):
+        return out
+    shared = fps.sparkSession.sparkContext.broadcast(histograms)
+
+    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = _values(batch.column(0).to_numpy(zero_copy_only=False), groups)
+            for g in range(len(groups)):
+                if wide[g]:
+                    own, counts = values[:, g], shared.value[g]
+                    own = own[counts[own & (len(counts) - 1)] > block]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), g), pa.int32()), pa.array(own, pa.int64())], names=["part", "value"])
+
+    counts = fps.select("fp").mapInArrow(full, "part int, value long").groupBy("part", "value").agg(F.count("*").alias("n"))
+    for r in counts.where(F.col("n") > block).orderBy(F.desc("n"), "part", "value").limit(HOT_VALUES).collect():
+        out[r["part"]][r["value"]] = r["n"]
+    return out
+
+
+def thresholds(values: np.ndarray, groups: list[list[int]], crowds: Crowds, bits: int) -> np.ndarray:
     """Thresholds of each fingerprint in each part, -1 (no probe) to ``bits``: the least expected number
     of candidates and probes such that the sum of the thresholds + 1 is ``bits`` + 1."""
     n, budget = len(values), bits + 1
     best = np.full((n, budget + 1), np.inf)
     best[:, 0] = 0
     choice = np.zeros((len(groups), n, budget + 1), np.int8)
-    for g, group in enumerate(groups):
-        wide = max(0, len(group) - HISTOGRAM_BITS)
-        # Candidates within t bits: counts of the values within t bits of the kept bits; the others are
-        # taken as spread evenly.
-        low = values[:, g] & ((1 << min(len(group), HISTOGRAM_BITS)) - 1)
+    for g in range(len(groups)):
+        wide, kept = crowds.wide[g], crowds.kept[g]
+        # Candidates within t bits: the value's own count, and counts of the values within t bits of the
+        # kept bits; the others are taken as spread evenly.
+        counts = crowds.histograms[g]
+        low = values[:, g] & crowds.low[g]
         cost, costs = np.zeros(n), [np.zeros(n)]
-        for masks in _masks(min(len(group), HISTOGRAM_BITS), bits if len(group) <= HISTOGRAM_BITS else 1)[: budget]:
+        for masks in _masks(kept, 1 if wide else bits)[: budget]:
             if len(masks) > 600:  # far probes: as many values of mean count
-                cost = cost + len(masks) * (2 + histograms[g].mean())
+                cost = cost + len(masks) * (2 + counts.mean())
             else:
                 for m in masks.tolist():
-                    cost = cost + 2 + histograms[g][low ^ m] / (1 << wide)
+                    cost = cost + 2 + (counts[low ^ m] / (1 << wide) if m or not wide else crowds.rows(g, values[:, g]))
             costs.append(cost)
         while len(costs) < budget + 1:
             costs.append(costs[-1] * 16 + 1e6)
@@ -214,15 +292,16 @@ def _spanning(near: np.ndarray, p: np.ndarray, r: np.ndarray) -> tuple[np.ndarra
     return np.concatenate(from_), np.concatenate(to)
 
 
-def links(fps: DataFrame, bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
+def links(fps: DataFrame, bits: int = MAX_BITS, block: int = BLOCK, kept: int = HISTOGRAM_BITS) -> DataFrame:
     """``a, b``: links at up to ``bits`` differing bits that connect all distinct values of ``fp`` that
-    such links connect. fps: distinct, already written (it is read several times)."""
+    such links connect. fps: distinct, already written (it is read several times). kept: bits of a part
+    that its histogram keeps."""
     spark = fps.sparkSession
     n = fps.count()
     # Wider parts for more fingerprints, so that a value is shared by few of them if bits are spread.
     parts = next((m for m in (4, 3) if n >> (64 // m) < 16), 2) if bits == 3 else bits + 1
     groups = correlated_parts(fps, parts)
-    keep = [min(len(g), HISTOGRAM_BITS) for g in groups]
+    keep = [min(len(g), kept) for g in groups]
 
     def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = [np.zeros(1 << k, np.int64) for k in keep]
@@ -234,31 +313,28 @@ def links(fps: DataFrame, bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), g), pa.int32()), pa.array(at, pa.int32()), pa.array(c[at], pa.int64())], names=["part", "value", "n"])
 
-    # At most parts * 2 ** HISTOGRAM_BITS rows.
+    # At most parts * 2 ** kept rows.
     table = fps.select("fp").mapInArrow(histogram, "part int, value int, n long").groupBy("part", "value").agg(F.sum("n").alias("n")).toPandas()
     histograms = [np.zeros(1 << k, np.int64) for k in keep]
     for g in range(parts):
         own = table[table["part"] == g]
         histograms[g][own["value"].to_numpy()] = own["n"].to_numpy()
-    # How many probes a value may get: those of its own fingerprints and of the values one bit away
-    # (farther probes are rare: thresholds over 1 cost hundreds of look-ups each).
-    reach = [h + sum((h[np.arange(len(h)) ^ (1 << b)] for b in range(keep[g])), np.zeros_like(h)) for g, h in enumerate(histograms)]
-    shared = spark.sparkContext.broadcast((histograms, reach))
+    shared = spark.sparkContext.broadcast(Crowds(groups, histograms, hot_values(fps, groups, histograms, block)))
     masks = [_masks(len(g), bits) for g in groups]
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Index rows (kind 0) in every part and probe rows (kind 1) within the thresholds, dealt to
         blocks of each kind: a row of a block meets all blocks of the other kind."""
-        histograms, reach = shared.value
+        crowds = shared.value
         for batch in batches:
             fps = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for at in range(0, len(fps), 1 << 13):
                 own = fps[at : at + (1 << 13)]
                 values = _values(own, groups)
-                near = thresholds(values, groups, histograms, bits)
+                near = thresholds(values, groups, crowds, bits)
                 salt = (own.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64)
                 for g in range(parts):
-                    counts, low = histograms[g], (1 << keep[g]) - 1
+                    counts, low = crowds.histograms[g], (1 << keep[g]) - 1
                     rows = [(0, np.arange(len(own)), values[:, g])]
                     for t in range(bits + 1):
                         who = np.flatnonzero(near[:, g] >= t)
@@ -268,7 +344,7 @@ def links(fps: DataFrame, bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame
                         if kind:
                             hit = counts[value & low] > 0
                             who, value = who[hit], value[hit]
-                        blocks = [np.minimum(4095, 1 + n[value & low] // block) for n in (counts, reach[g])]
+                        blocks = crowds.blocks(g, value, block)
                         mine, copies = salt[who] % blocks[kind], blocks[1 - kind]
                         again = np.repeat(np.arange(len(who)), copies)
                         other = np.arange(len(again)) - np.repeat(np.cumsum(copies) - copies, copies)
@@ -296,10 +372,10 @@ def links(fps: DataFrame, bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame
     return ordered.mapInArrow(verified, "a long, b long")
 
 
-def classes_of(own: DataFrame, bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
+def classes_of(own: DataFrame, bits: int = MAX_BITS, block: int = BLOCK, kept: int = HISTOGRAM_BITS) -> DataFrame:
     """``fp, root`` for every distinct fingerprint of ``own``; fingerprints of a component share a root."""
     classes = cut(own.select("fp").distinct(), "classes")
-    roots = components(links(classes, bits, block))
+    roots = components(links(classes, bits, block, kept))
     return classes.join(roots, classes.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 

@@ -201,8 +201,8 @@ def test_near_duplicates(spark, awkward, documents, empty):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.one_of_each(empty).count() == 0
 
 
-@pytest.mark.parametrize("block", [16, simhash.BLOCK])
-def test_links_within_dense_and_far_values(spark, block):
+@pytest.mark.parametrize(("block", "kept"), [(16, simhash.HISTOGRAM_BITS), (simhash.BLOCK, simhash.HISTOGRAM_BITS), (16, 5)])
+def test_links_within_dense_and_far_values(spark, block, kept):
     rng = np.random.default_rng(5)
     centre = rng.integers(0, 2**63, 4, dtype=np.int64)
     fps = set(centre.tolist())
@@ -213,7 +213,7 @@ def test_links_within_dense_and_far_values(spark, block):
                 x ^= 1 << b
             fps.add(x)
     df = spark.createDataFrame([(x,) for x in fps], "fp long")
-    roots = {r.fp: r.root for r in simhash.classes_of(df, block=block).collect()}
+    roots = {r.fp: r.root for r in simhash.classes_of(df, block=block, kept=kept).collect()}
     want = plain_components(fps)
     groups, expect = {}, {}
     for x in fps:
@@ -222,6 +222,30 @@ def test_links_within_dense_and_far_values(spark, block):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, expect.values()))
 
 
+def test_block_counts_of_wide_parts(spark):
+    """Parts of 32 bits with 16 bits counted: values are expected to be as rare as all 32 bits make them,
+    but for those that are known to be common."""
+    bits = [list(range(32)), list(range(32, 64))]
+    counts = [np.full(1 << 16, 10**9 >> 16, np.int64)] * 2  # 10 ** 9 fingerprints of even bits
+    hot = 0xABCD0123
+    crowds = simhash.Crowds(bits, counts, [{hot: 5_000_000}, {}])
+    values = np.random.default_rng(1).integers(0, 2**32, 10_000)
+    for g in (0, 1):
+        rows, probes = crowds.blocks(g, values, simhash.BLOCK)
+        assert rows.max() == probes.max() == 1
+    near = np.array([hot, hot ^ 1, hot ^ 1 << 31, hot ^ 3])
+    rows, probes = crowds.blocks(0, near, simhash.BLOCK)
+    many = 1 + 5_000_000 // simhash.BLOCK
+    assert rows.tolist() == [many, 1, 1, 1] and probes.tolist() == [many, many, many, 1]
+    # The counts of common values are those of all rows; the histogram alone would take them as rare.
+    fps = np.unique(np.concatenate([(np.arange(300) << 32) | 0x70001, np.arange(300) * 0x1E3779B97F4A7B]))
+    values = simhash._values(fps, bits)
+    tables = [np.bincount(values[:, g] & 0xFFFF, minlength=1 << 16) for g in (0, 1)]
+    df = spark.createDataFrame([(int(x),) for x in fps], "fp long")
+    assert simhash.hot_values(df, bits, tables, 100) == [{0x70001: 300}, {}]
+    assert simhash.hot_values(df, [[0]], [np.zeros(2, np.int64)], 100) == [{}]
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(80)] + [(500, 501)], "a long, b long")
     got = {r.node: r.root for r in components.components(edges).collect()}
