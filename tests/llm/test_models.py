@@ -96,22 +96,20 @@ def plain_model(rows):
     return tokens, held, counts, pairs, n, types
 
 
-def plain_scores(rows, cached):
-    """Scores by a plain walk over the automaton; ``cached``: how many words count in failure weights."""
+def plain_scores(rows):
+    """Scores by a plain walk over the automaton, read left to right."""
     tokens, held, counts, pairs, n, types = plain_model(rows)
     seen, paired = Counter(counts.values()), Counter(pairs.values())
     d1, d2 = automaton._discount(seen[1], seen[2]), automaton._discount(paired[1], paired[2])
-    kept = least = 0
-    for c in sorted(seen, reverse=True):
-        if kept + seen[c] > cached:
-            break
-        least, kept = c, kept + seen[c]
-    often = {w for w, c in counts.items() if kept and c >= least or w == b"\n"}
     used, taken = Counter(), Counter()
     for (a, w), c in pairs.items():
         if c > 1:
             used[a] += (c - d2) / counts[a]
-            taken[a] += (counts[w] - d1) / n if w in often else 0.0
+            taken[a] += (counts[w] - d1) / n
+    for h in sorted(used, key=lambda a: (-counts[a], a))[::50]:  # what can follow a state sums to one
+        arcs = {w for (a, w), c in pairs.items() if a == h and c > 1}
+        backed = sum((c - d1) / n for w, c in counts.items() if w not in arcs) + d1 * types / n
+        assert abs(used[h] + backed * (1 - used[h]) / (1 - taken[h]) - 1) < 1e-9
     out = []
     for i, (doc, _) in enumerate(rows):
         base = score = 0.0
@@ -136,7 +134,7 @@ def scored(df):
 def test_automaton(awkward, documents, empty):
     for df in (awkward, documents):
         rows = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
-        assert scored(df) == plain(plain_scores(rows, automaton.CACHED_WORDS))
+        assert scored(df) == plain(plain_scores(rows))
     out = [r for r in automaton.score_documents(documents).collect() if r.held_out]
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
     assert automaton.score_documents(empty).count() == 0
@@ -151,7 +149,7 @@ def test_automaton_with_few_words_broadcast(documents, monkeypatch, cached):
     for name, value in (("CACHED_WORDS", cached), ("PART_TOKENS", 3000), ("SLICE_BYTES", 20_000)):
         monkeypatch.setattr(automaton, name, value)
     rows = [(r.doc_id, r.text) for r in documents.select("doc_id", "text").collect()]
-    assert scored(documents) == plain(plain_scores(rows, cached))
+    assert scored(documents) == plain(plain_scores(rows))
 
 
 def plain_fingerprint(text):
