@@ -39,6 +39,11 @@ FURNITURE_WORDS = set(
 #: Words that are as often a topic: they mark furniture alone, or beside words that name a part of a page.
 TOPIC_WORDS = set("copyright dialog discussion legal notice notification popular privacy promotion recommended related reply responses search share skip social".split())
 PART_WORDS = set("area article articles bar block box button buttons container content entries form icons inner items link links list media more news outer panel post posts section stories story wrap wrapper".split())
+#: Inside an article or main part, a name of these words alone may be a topic as well: it marks furniture
+#: only if most of the node's text is in links.
+DOUBTFUL_WORDS = set("banner copyright dialog discussion legal menu popular privacy promotion recommended reply responses search skip".split())
+#: Words for a place or an owner, which don't make a topic of a name inside an article or main part.
+PLACE_WORDS = set("bottom form global inline left main page primary reader right secondary site slot top unit user".split())
 #: Headings, paragraphs and cells of text are never furniture by their names.
 PROSE = set("blockquote caption dd dt figcaption h1 h2 h3 h4 h5 h6 hgroup li p pre summary td th tr".split())
 
@@ -65,6 +70,17 @@ def _names_furniture(name: str) -> bool:
     return bool(words & TOPIC_WORDS) and words <= TOPIC_WORDS | PART_WORDS
 
 
+def _names_furniture_inside(name: str) -> tuple[bool, bool]:
+    """The same for a name inside an article or main part, where a word of another kind makes it a topic
+    (comments-on-kant); and whether the name is doubtful."""
+    words = {w.lower() for w in _word.findall(name)}
+    named = words & (FURNITURE_WORDS | TOPIC_WORDS)
+    if not _names_furniture(name) or not words <= named | PART_WORDS | PLACE_WORDS:
+        return False, False
+    doubtful = words <= DOUBTFUL_WORDS
+    return not doubtful, doubtful
+
+
 class Page:
     """Blocks of text with the nodes they stand in.
 
@@ -76,6 +92,7 @@ class Page:
         self.blocks: list[tuple[int, str, int]] = []
         #: Nodes that are furniture by their words only, and those by tag or as hidden.
         self.worded: set[int] = set()
+        self.doubtful: set[int] = set()
         self.sure: set[int] = set()
         self._parse(source)
         self._settle()
@@ -145,7 +162,7 @@ class Page:
         flush()
 
     def _node(self, parent: int, tag: str, attributes: str) -> None:
-        label, sure, worded = tag, tag in FURNITURE, False
+        label, sure, worded, doubtful = tag, tag in FURNITURE, False, False
         if tag == "header":
             sure = not self._inside(parent, {"article", "main"})
         if attributes and "=" in attributes or "hidden" in attributes:
@@ -156,13 +173,20 @@ class Page:
                 if name.lower() == "hidden" or (name.lower() == "aria-hidden" and value == "true"):
                     sure = True
                 elif not worded and tag not in PROSE and (name.lower() != "id" or not self._inside(parent, {"article"})):
-                    worded = any(_names_furniture(x) for x in _beside.sub("", value).split())
+                    names = _beside.sub("", value).split()
+                    if self._inside(parent, {"article", "main"}):
+                        found = [_names_furniture_inside(x) for x in names]
+                        worded, doubtful = any(x for x, _ in found), doubtful or any(x for _, x in found)
+                    else:
+                        worded = any(map(_names_furniture, names))
         if tag in ("article", "main") and not self._inside(parent, {"article"}):
             sure, worded = sure and "comment" in label, worded and "comment" in label
         if sure:
             self.sure.add(len(self.nodes))
         elif worded:
             self.worded.add(len(self.nodes))
+        elif doubtful:
+            self.doubtful.add(len(self.nodes))
         self.nodes.append((parent, tag, label, False))
 
     def _below(self, marked: set[int]) -> list[bool]:
@@ -182,10 +206,22 @@ class Page:
             out[self.nodes[i][0]] += out[i]
         return out
 
+    def _linked(self) -> list[int]:
+        """Characters in links below each node."""
+        out = [0] * len(self.nodes)
+        for node, _, linked in self.blocks:
+            out[node] += linked
+        for i in range(len(out) - 1, 0, -1):
+            out[self.nodes[i][0]] += out[i]
+        return out
+
     def _settle(self) -> None:
-        """Furniture passes down. Words alone make no furniture of a node that holds most text of the
+        """Furniture passes down. A doubtful name counts where most text is in links. Words alone make no furniture of a node that holds most text of the
         page's articles (main parts, if there is no article; all text, if there is neither), or nearly all
         text of the page, or articles, where all articles would be lost."""
+        if self.doubtful:
+            unlinked, linked = self._worth([True] * len(self.nodes)), self._linked()
+            self.worded |= {i for i in self.doubtful if linked[i] > unlinked[i]}
         if self.worded:
             sure = self._below(self.sure)
             all_ = self._worth([not x for x in sure])

@@ -347,3 +347,14 @@ def test_topics_of_an_article_are_no_furniture(spark):
     got = {r.page_id: r.text for r in hostpaths.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     want = "Title\nOn privacy\nOthers wrote this.\nWe search.\nSo x=1 holds.\nA figure."
     assert got[1] == want + "\nWe discuss." and got[2].startswith(want)
+
+
+def test_names_inside_an_article(spark):
+    """Names that may be topics lose no text inside an article or main part; menus of links, adverts, notices
+    and comments go there too."""
+    kept = '<section class="privacy"><p>On privacy.</p></section><div class="banner-image-caption">A caption.</div><ul class="menu"><li>Soup</li><li>Fish and <a href="x">chips</a></li></ul><div class="comments-on-kant"><p>On Kant.</p></div>'
+    gone = '<ul class="menu"><li><a href="a">Home</a></li><li><a href="b">About us</a></li></ul><div class="site-cookie-notice">We use cookies.</div><div class="reader-comments"><p>First!</p></div><div class="ad-slot-3">Buy.</div><div class="popular"><a href="c">Much read</a></div>'
+    rows = [(i, None, f"<body><{tag}><h1>Title</h1><p>{'long text ' * 30}</p>{kept}{gone}</{tag}></body>") for i, tag in enumerate(("article", "main"))]
+    got = {r.page_id: r.text for r in hostpaths.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = "\n".join(["Title", ("long text " * 30).strip(), "On privacy.", "A caption.", "Soup", "Fish and chips", "On Kant."])
+    assert got == {0: want, 1: want}
