@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import arrow_pass, cut
 
-#: Paths of a host that may win: the most voted; pages with none of them keep their own best.
+#: So many of a host's most voted paths travel as one list; those after them meet the pages by a join.
 WINNERS = 64
 #: A host with this share of all pages is hot; there can be 1 / HOT_SHARE of them at most. Their pages
 #: get the winners by broadcast and are dealt out evenly, over SALTS keys.
@@ -311,9 +311,12 @@ class Page:
             inside[i] = parent >= 0 and inside[parent] or (path.endswith(self.nodes[i][2]) and self.path(i) == path)
         return "\n".join(t for n, t, _ in self.blocks if inside[n] and not self.nodes[n][3])
 
+    def containers(self) -> set[str]:
+        return {self.path(i) for i, n in enumerate(self.nodes) if n[1] in CONTAINERS}
+
     def extract(self, winners: list[str]) -> str:
         own = self.best()
-        have = {self.path(i) for i, n in enumerate(self.nodes) if n[1] in CONTAINERS} if winners else set()
+        have = self.containers() if winners else set()
         for path in [*(w for w in winners if w in have), *(p for p, _ in own)]:
             if text := self.text(path):
                 return text
@@ -344,17 +347,35 @@ def host_votes(pages: DataFrame) -> DataFrame:
     return votes.groupBy("host", "path").agg(F.sum("votes").alias("votes"), F.sum("pages").alias("pages"))
 
 
-def extract_pages(pages: DataFrame) -> DataFrame:
-    """``page_id, url, text, n_chars`` of each row of ``pages``; no text gives the empty string.
+def _later_paths(rows: DataFrame, late: DataFrame) -> DataFrame:
+    """``id, later``: the paths of each page (rows: id, host, html) that are in ``late`` (host, path, r), in
+    order. A page has as many as its containers at most; repeated pages are one."""
+
+    def paths(columns: list[list]) -> dict:
+        out: dict[str, list] = {"id": [], "host": [], "path": []}
+        for id_, host, source in zip(*columns, strict=True):
+            for path in Page(source or "").containers():
+                for k, v in zip(out, (id_, host, path), strict=True):
+                    out[k].append(v)
+        return out
+
+    of_pages = arrow_pass(rows.select("id", "host", "html"), "id long, host string, path string", paths).distinct()
+    return of_pages.join(late.select("host", "path", "r"), ["host", "path"]).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("r", "path")))["path"].alias("later"))
+
+
+def extract_pages(pages: DataFrame, listed: int = WINNERS) -> DataFrame:
+    """``page_id, url, text, n_chars`` of each row of ``pages``; no text gives the empty string. Every voted
+    path of a host may win; ``listed`` of them travel as one list.
 
     A null html is empty; a null url has no host; repeated rows each give a row; other columns are
     ignored; an empty table gives no rows. Votes that tie are ordered by path.
     """
     of_host = Window.partitionBy("host")
     order = F.row_number().over(of_host.orderBy(F.desc("votes"), "path"))
-    first = host_votes(pages).withColumn("n", F.sum("pages").over(of_host)).withColumn("r", order).where((F.col("r") <= WINNERS) & (F.col("path") != ""))
-    listed = F.array_sort(F.collect_list(F.struct("r", "path")))
-    winners = cut(first.groupBy("host").agg(F.max("n").alias("n"), listed["path"].alias("winners")), "winners")
+    voted = host_votes(pages).withColumn("n", F.sum("pages").over(of_host)).where(F.col("path") != "")
+    ranked = cut(voted.select("host", "path", "n", order.alias("r")), "ranked")
+    paths = F.array_sort(F.collect_list(F.struct("r", "path")))["path"]
+    winners = cut(ranked.where(F.col("r") <= listed).groupBy("host").agg(F.max("n").alias("n"), paths.alias("winners")), "winners")
     total = winners.agg(F.sum("n")).first()[0] or 0
     hot = winners.where(F.col("n") >= HOT_SHARE * total).select(F.col("host").alias("hot_host"), F.col("winners").alias("hot_winners"))
     rest = winners.where(F.col("n") < HOT_SHARE * total).select(F.col("host").alias("key"), F.col("winners").alias("rest_winners"))
@@ -364,7 +385,15 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     # No host has a blank in its name, so these keys meet no winners.
     spread = F.concat(F.lit(" "), F.pmod(F.xxhash64("page_id", "html"), F.lit(SALTS)).cast("string"))
     rows = rows.withColumn("key", F.when(F.col("hot_winners").isNull() & F.col("host").isNotNull(), F.col("host")).otherwise(spread))
-    joined = rows.join(rest, "key", "left").select("page_id", "url", "html", F.coalesce("hot_winners", "rest_winners").alias("winners"))
+    joined = rows.join(rest, "key", "left").select("page_id", "url", "html", "host", F.coalesce("hot_winners", "rest_winners").alias("winners"))
+    late = ranked.where(F.col("r") > listed)
+    if not late.isEmpty():
+        full = F.coalesce(F.size("winners") >= listed, F.lit(False))
+        more = joined.where(full).withColumn("id", F.xxhash64("page_id", "url", "html"))
+        all_ = F.concat("winners", F.coalesce("later", F.array().cast("array<string>"))).alias("winners")
+        more = more.join(_later_paths(more, late), "id", "left").select("page_id", "url", "html", "host", all_)
+        joined = joined.where(~full).unionByName(more)
+    joined = joined.drop("host")
 
     def extract(columns: list[list]) -> dict:
         ids, urls, sources, winners = columns

@@ -358,3 +358,19 @@ def test_names_inside_an_article(spark):
     got = {r.page_id: r.text for r in hostpaths.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     want = "\n".join(["Title", ("long text " * 30).strip(), "On privacy.", "A caption.", "Soup", "Fish and chips", "On Kant."])
     assert got == {0: want, 1: want}
+
+
+def test_every_voted_path_of_a_host_may_win(spark):
+    """How many paths travel as a list changes no row; a page follows the host's path far down the votes."""
+    rows = []
+    for kind in range(12):
+        name = "".join(chr(97 + int(d)) for d in str(kind))
+        for i in range(14 - kind):
+            rows.append((100 * kind + i, f"http://h.c/{kind}/{i}", f'<body><div class="w{name}"><div class="{name}"><p>{"story " * 40}</p></div><div class="z{name}"><p>aside</p></div></div></body>'))
+        rows.append((100 * kind + 99, f"http://h.c/{kind}/99", f'<body><div class="w{name}"><div class="{name}"><p>brief</p></div><div class="odd{name}"><p>{"odd text " * 9}</p></div></div></body>'))
+    rows += [rows[0], rows[-1], (-1, "http://h.c/none", ""), (-2, None, "<p>no host"), (-3, "http://other.c/", "<body><div><p>other</p></div></body>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = sorted(map(str, hostpaths.extract_pages(df).collect()))
+    for listed in (1, 3):
+        assert sorted(map(str, hostpaths.extract_pages(df, listed).collect())) == want
+    assert sum("text='brief'" in x for x in want) == 13 and len(want) == len(rows)
