@@ -199,8 +199,8 @@ def question_triggers(t: Tables) -> DataFrame:
 
 
 @R.add("SELECT conv_id, turn, role, coalesce(" + ", ".join(f"CASE WHEN contains(lower(text), '{w}') THEN '{k}' END" for w, k in TOPICS) + ", 'other') AS topic FROM conversations")
-def statement_labels(t: Tables) -> DataFrame:
-    """First labels by a list of one's own."""
+def turn_topics(t: Tables) -> DataFrame:
+    """First labels by a list of one's own."""
     return t.conversations.select("conv_id", "turn", "role", tx.first_label("text", TOPICS, "other").alias("topic"))
 
 
