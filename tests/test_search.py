@@ -92,3 +92,10 @@ def test_an_index_is_read_again(spark, tmp_path):
     b = impacts.search(impacts.read_index(spark, str(tmp_path / "index")), queries, "id", "text", 3)[0]
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect())) != []
     assert impacts.search(impacts.write_index(df.limit(0), "key", "label", "rest", F.lit(0)), queries, "id", "text", 3)[0].collect() == []
+
+
+def test_postings_are_packed_and_texts_are_not_kept(spark, tmp_path):
+    df = spark.createDataFrame([(1, "heart", "heart valve heart"), (2, None, "valve")], "key long, label string, text string").coalesce(1)
+    index = impacts.write_index(df, "key", "label", "text", F.lit(0), str(tmp_path / "index"))
+    assert {r.term: sorted(r.postings) for r in index.postings.collect()} == {"heart": [7], "valve": [4, 12]}
+    assert "text" not in index.concepts.columns and not (tmp_path / "index" / ".made").exists()
