@@ -12,17 +12,19 @@ automaton:
   follow a state have probabilities that sum to one, however many words there are.
 
 Reading word w leads to state w if it is known, else to the root. Each text is read once, from left to
-right, from the root, and the weights of the arcs it takes add up. That sum is taken where the arcs are:
+right, from the root, with the state carried on from token to token, and the weights of the arcs that it
+takes add up. No task holds all arcs; a slice of texts reads with those that its texts can meet:
 
 1. words are counted; the most frequent ones are broadcast, as names that are short and weights at hand;
-2. each slice of text deals its pairs (state, word, text) out over parts of about ``PART_TOKENS`` tokens, in
-   packed blocks; a part has all arcs of its states, but for the most frequent states, which are dealt over
-   several parts by word;
-3. a part adds up its arcs' counts, and later sends each text the weights of the arcs and failure arcs that
-   it took there; words that aren't broadcast are looked up by a join with the table of all words, for the
-   root's arcs and for what they add to the failure arcs of states that have arcs for them.
-
-Every pair is counted and every text's pair is weighed, whatever their number. Words are named by 63 bits of
+2. each slice of text asks for its distinct pairs (state, word), with their counts in training texts, in
+   packed blocks by part of about ``PART_TOKENS`` tokens; a part has all arcs of its states, but for the most
+   frequent states, which are dealt over several parts by word. The texts go on as numbers of tokens;
+3. a part adds up its pairs' counts, and answers each slice with those of the asked arcs that there are and
+   with the failure arcs of their states; words that aren't broadcast are looked up by a join with the table
+   of all words, for the root's arcs and for what they add to the failure arcs of states that have arcs for them;
+4. a slice's texts and answers meet in one task (``Reader``), which reads the texts.
+
+Every pair is counted and every token of a text is read, whatever their number. Words are named by 63 bits of
 their hash; among V words V * V / 2 ** 64 clashes are expected.
 """
 
@@ -36,7 +38,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import cut, noted, release, slices
+from .common import cut, slices
 
 #: So many of the most frequent words are broadcast, 24 bytes each.
 CACHED_WORDS = 1 << 18
@@ -46,9 +48,9 @@ SLICE_BYTES = 4 << 20
 #: The token at a text's end; no word holds white space.
 END = b"\n"
 FOLDS, HELD_OUT = 7, 2
-#: Rows of the packed tables: texts, a part's arcs and takers, sums of dealt states, counts of counts,
-#: texts' weights, other words, arcs for other words, failures of states that aren't broadcast.
-TEXTS, ARCS, STATES, COUNTS, WEIGHTS, OTHERS, RARE, FAILED = range(8)
+#: Rows of the packed tables: texts, a part's arcs and who asked for them (or its answers), sums of dealt
+#: states, counts of counts, arcs for words that aren't broadcast.
+TEXTS, ARCS, STATES, COUNTS, RARE = range(5)
 PACKED = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("slice", pa.int64()), ("n", pa.int64()), ("data", pa.list_(pa.binary()))])
 PACKED_DDL = "part int, kind int, slice long, n long, data array<binary>"
 
@@ -170,13 +172,13 @@ class Words:
         """P(w) of the root's arcs."""
         return (self.counts - self.d1) / max(1, self.total)
 
-    @cached_property
-    def root(self) -> np.ndarray:
-        return np.log10(self.share)
+    def root(self, counts: np.ndarray) -> np.ndarray:
+        """Weights of the root's arcs for words of such counts; 0 is an unknown word."""
+        unknown = np.log10(max(self.d1 * self.types, 1e-300) / self.total) if self.total else 0.0
+        return np.where(counts > 0, np.log10(np.maximum(counts - self.d1, 1e-300) / max(1, self.total)), unknown)
 
-    @cached_property
-    def base(self) -> np.ndarray:
-        return np.log10((self.counts + 1) / (self.total + self.types + 1))
+    def base(self, counts: np.ndarray) -> np.ndarray:
+        return np.log10((counts + 1) / (self.total + self.types + 1))
 
     def part(self, h: np.ndarray, w: np.ndarray) -> np.ndarray:
         dealt, salt = self.dealt, np.zeros(len(h), np.int64)
@@ -209,9 +211,9 @@ def frequent_words(counts: DataFrame, spark: SparkSession) -> Words:
     return Words(often.column("key").to_numpy(), often.column("n").to_numpy(), row["n"], row["v"], _discount(row["ones"], row["twos"]), _keys(spark, each))
 
 
-def deal_pairs(docs: DataFrame, words: Words) -> DataFrame:
-    """Each slice's texts, and its pairs in blocks by part: states (in order), words, texts, and how often;
-    the last is negative in texts that are held out. docs: doc_id, text."""
+def ask(docs: DataFrame, words: Words) -> DataFrame:
+    """Each slice's texts, as numbers of its words (ids in order), and what it asks of the parts: distinct
+    pairs (states in order, words) with their counts in training texts. docs: doc_id, text."""
     shared = docs.sparkSession.sparkContext.broadcast(words)
 
     def rows(batch: pa.RecordBatch, number: int) -> list[tuple]:
@@ -219,37 +221,31 @@ def deal_pairs(docs: DataFrame, words: Words) -> DataFrame:
         tokens, counts = _tokens(batch.column(1).to_pylist())
         held = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
         found, numbers = _numbers(tokens)
+        del tokens
         of_word = model.ids(_hashes(found))
         order = np.argsort(of_word)
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         numbers, ids = rank[numbers], of_word[order]
-        size, n_docs = len(ids), len(counts)
-        token = ids[numbers]
-        known, base = token >= 0, np.zeros(len(token))
-        base[known] = model.base[token[known]]
-        starts = np.cumsum(counts) - counts
-        first = token[starts]
-        begun = np.zeros(n_docs)
-        begun[first >= 0] = model.root[first[first >= 0]]
-        names = batch.column(0)
-        other = np.flatnonzero(first < 0)
-        texts = [names.fill_null(0).to_numpy(), names.is_null().to_numpy(zero_copy_only=False), held, counts, np.add.reduceat(known.astype(np.int64), starts)]
-        data = [*map(squeeze, texts), np.add.reduceat(base, starts).tobytes(), begun.tobytes(), squeeze(other), squeeze(first[other])]
-        out = [(int(model.keys[number % len(model.keys)]), TEXTS, number, n_docs, [np.int64(len(other)).tobytes(), *data])]
-        of = np.repeat(np.arange(n_docs), counts)
+        size, names = len(ids), batch.column(0)
+        texts = [names.fill_null(0).to_numpy(), names.is_null().to_numpy(zero_copy_only=False), held, counts, _steps(ids), numbers]
+        lengths = np.array([len(x) for x in texts], np.int64).tobytes()
+        out = [(int(model.keys[number % len(model.keys)]), TEXTS, number, len(counts), [lengths, *map(squeeze, texts)])]
         at = np.flatnonzero(_follows(counts))
-        key, k = np.unique((numbers[at] * size + numbers[at + 1]) * n_docs + of[at], return_counts=True)
-        doc, key = key % n_docs, key // n_docs
+        key, k = np.unique((numbers[at] * size + numbers[at + 1]) * 2 + np.repeat(held, counts)[at], return_counts=True)
+        if not len(key):
+            return out
+        k[key % 2 == 1] = 0
+        key >>= 1
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        key, k = key[first], np.add.reduceat(k, first)
         h, w = ids[key // size], ids[key % size]
-        k = np.where(held[doc], -k, k)
         part = model.part(h, w)
         order = np.argsort(part.astype(np.uint16) if len(model.keys) <= 1 << 16 else part, kind="stable")
-        part, h, w, doc, k = (x[order] for x in (part, h, w, doc, k))
+        part, h, w, k = (x[order] for x in (part, h, w, k))
         bounds = [*np.flatnonzero(np.diff(part, prepend=-1)).tolist(), len(part)]
         for a, b in zip(bounds, bounds[1:], strict=False):
-            block = [squeeze(_steps(h[a:b])), squeeze(w[a:b]), squeeze(doc[a:b]), squeeze(k[a:b])]
-            out.append((int(model.keys[part[a]]), ARCS, number, b - a, block))
+            out.append((int(model.keys[part[a]]), ARCS, number, b - a, [squeeze(_steps(h[a:b])), squeeze(w[a:b]), squeeze(k[a:b])]))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,19 +264,19 @@ def _pair_keys(h: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 def merge_parts(dealt: DataFrame, words: Words) -> DataFrame:
-    """Each part's blocks as one row: its arcs (states, words, counts) and its takers; beside them the sums
-    of dealt states, counts of arcs counted once and twice, and the texts as they are."""
+    """Each part's blocks as one row: its pairs (states, words, counts) and who asked for them; beside them
+    the sums of dealt states, counts of pairs counted once and twice, and the texts as they are."""
     shared = dealt.sparkSession.sparkContext.broadcast(words)
 
     def merged(part: int, blocks: list[tuple]) -> list[tuple]:
         model = shared.value
         sizes = np.array([n for _, n, _ in blocks], np.int64)
         h = np.concatenate([np.cumsum(expand(d[0], n)) for _, n, d in blocks])
-        w, doc, k = (np.concatenate([expand(d[i], n) for _, n, d in blocks]) for i in (1, 2, 3))
+        w, k = (np.concatenate([expand(d[i], n) for _, n, d in blocks]) for i in (1, 2))
         _, first, arc = np.unique(_pair_keys(h, w), return_index=True, return_inverse=True)
-        n = np.bincount(arc, weights=np.maximum(k, 0)).astype(np.int64)
+        n = np.bincount(arc, weights=k).astype(np.int64)
         h, w = h[first], w[first]
-        data = [h, w, n, np.array([s for s, _, _ in blocks], np.int64), sizes, _steps(arc), doc, k]
+        data = [h, w, n, np.array([s for s, _, _ in blocks], np.int64), sizes, _steps(arc)]
         out = [(part, ARCS, len(blocks), len(n), [np.array([len(x) for x in data], np.int64).tobytes(), *map(squeeze, data)])]
         out.append((part, COUNTS, np.count_nonzero(n == 1), np.count_nonzero(n == 2), []))
         rare = (n > 1) & (w < 0)
@@ -354,121 +350,138 @@ class Failures:
         self.rare[shares.column("h").to_numpy()] = shares.column("share").to_numpy()
 
 
-def weigh(parts: DataFrame, words: Words, failures: Failures) -> DataFrame:
-    """What each part's arcs and failure arcs weigh in each text, by slice; words that aren't broadcast, for
-    the join that looks them up: texts, ids, how often, how often by way of the root; failures of states that
-    aren't broadcast but have arcs for such words: texts, states, how often, the share that is counted; texts
-    as they are."""
+def answers(parts: DataFrame, words: Words, failures: Failures) -> DataFrame:
+    """What each slice gets of each part: the asked arcs that there are (states, words, counts), and the
+    states among the asked ones that have arcs, with the weights of their failure arcs; with those that aren't
+    broadcast also the share that the weight counts, without their words that aren't. Texts as they are."""
     shared = parts.sparkSession.sparkContext.broadcast((words, failures))
 
-    def weighed(row: dict) -> Iterator[tuple]:
+    def answered(row: dict) -> Iterator[tuple]:
         model, failures = shared.value
         sizes = np.frombuffer(row["data"][0], np.int64).tolist()
-        h, w, n, numbers, lengths, arc, doc, k = (expand(d, m) for d, m in zip(row["data"][1:], sizes, strict=True))
-        arc, k = np.cumsum(arc), np.abs(k)
+        h, w, n, numbers, lengths, arc = (expand(d, m) for d, m in zip(row["data"][1:], sizes, strict=True))
+        arc = np.cumsum(arc)
         has = n > 1
         states, at = np.unique(h, return_inverse=True)
         shares = np.where(w >= 0, model.share[np.maximum(w, 0)], 0.0) if len(model.share) else np.zeros(len(w))
+        # All arcs of a state that isn't broadcast are in this part.
         count, used, arcs, share = (np.bincount(at, weights=x) for x in (n, n * has, has, shares * has))
         hot = (states >= 0) & (states < len(failures.used))
         own = states[hot]
         count[hot], used[hot], arcs[hot], share[hot] = model.counts[own], failures.used[own], failures.arcs[own], failures.share[own]
-        often_state = states >= 0
-        share[often_state] += failures.rare[states[often_state]]
-        # All arcs of a state that isn't broadcast are in this part.
-        short = ~often_state & (np.bincount(at, weights=has & (w < 0)) > 0)
-        count = np.maximum(count, 1)
-        failure = np.log10(1 - (used - failures.d2 * arcs) / count) - np.log10(1 - share)
-        root = np.where(w >= 0, model.root[np.maximum(w, 0)], 0.0) if len(model.share) else np.zeros(len(w))
-        weight = np.where(has, np.log10(np.maximum(n - failures.d2, 1e-9) / count[at]), failure[at] + root)
+        often = states >= 0
+        share[often] += failures.rare[states[often]]
+        failure = np.log10(1 - (used - failures.d2 * arcs) / np.maximum(count, 1)) - np.log10(1 - share)
         ends = np.cumsum(lengths)
         for number, a, b in zip(numbers.tolist(), (ends - lengths).tolist(), ends.tolist(), strict=True):
-            texts, place = np.unique(doc[a:b], return_inverse=True)
-            own, often = arc[a:b], k[a:b]
-            yield (0, WEIGHTS, number, len(texts), [squeeze(_steps(texts)), np.bincount(place, weights=weight[own] * often).tobytes()])
-            rare = np.flatnonzero(w[own] < 0)
-            if len(rare):
-                yield (0, OTHERS, number, len(rare), [squeeze(x) for x in (doc[a:b][rare], w[own[rare]], often[rare], often[rare] * ~has[own[rare]])])
-            failed = np.flatnonzero(short[at[own]] & ~has[own])
-            if len(failed):
-                yield (0, FAILED, number, len(failed), [*(squeeze(x) for x in (doc[a:b][failed], h[own[failed]], often[failed])), share[at[own[failed]]].tobytes()])
+            asked = arc[a:b]
+            taken = asked[has[asked]]
+            met = np.unique(at[asked])
+            met = met[arcs[met] > 0]
+            if len(met):
+                rare = np.count_nonzero(states[met] < 0)
+                data = [squeeze(_steps(h[taken])), squeeze(w[taken]), squeeze(n[taken]), squeeze(_steps(states[met])), failure[met].tobytes(), share[met[:rare]].tobytes()]
+                yield (0, ARCS, number, len(taken), [np.int64(len(met)).tobytes(), *data])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                if row["kind"] == ARCS:
-                    done = list(weighed(row))
-                else:
-                    done = [tuple(row.values())]
-                    n = int(np.frombuffer(row["data"][0], np.int64)[0])
-                    if n:
-                        one = squeeze(np.ones(n))
-                        done.append((0, OTHERS, row["slice"], n, [row["data"][8], row["data"][9], one, one]))
-                yield _packed(done)
+                done = list(answered(row)) if row["kind"] == ARCS else [tuple(row.values())]
+                if done:
+                    yield _packed(done)
 
     return parts.where(F.col("kind").isin(TEXTS, ARCS)).mapInArrow(run, PACKED_DDL)
 
 
-def _others(weights: DataFrame, counts: DataFrame, words: Words, rare: DataFrame) -> DataFrame:
-    """``slice, at, known, base, weight``: what the words that aren't broadcast add to each text, by the
-    root's arcs and by failures. None of them is frequent, so no key is hot."""
-
-    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                fields = [np.full(r["n"], r["slice"]), *(expand(d, r["n"]) for d in r["data"])]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in fields], names=["slice", "at", "id", "k", "open"])
-
-    def failures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                fields = [np.full(r["n"], r["slice"]), *(expand(d, r["n"]) for d in r["data"][:3]), np.frombuffer(r["data"][3])]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in fields], names=["slice", "at", "h", "k", "counted"])
-
-    rows = weights.where(F.col("kind") == OTHERS).mapInArrow(unpacked, "slice long, at long, id long, k long, open long")
-    n, types = F.coalesce("n", F.lit(0)), float(words.types)
-    unknown = np.log10(max(words.d1 * types, 1e-300) / words.total) if words.total else 0.0
-    root = F.when(n > 0, F.log10((n - F.lit(words.d1)) / F.lit(float(max(1, words.total))))).otherwise(F.lit(float(unknown)))
-    base = F.log10((n + 1) / F.lit(float(words.total + types + 1)))
-    joined = rows.join(counts.select(F.bitwise_not("key").alias("id"), "n"), "id", "left")
-    mass = F.log10(1 - F.col("counted")) - F.log10(1 - F.col("counted") - F.col("share"))
-    failed = weights.where(F.col("kind") == FAILED).mapInArrow(failures, "slice long, at long, h long, k long, counted double")
-    more = failed.join(rare, "h").select("slice", "at", F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("base"), (F.col("k") * mass).alias("weight"))
-    each = joined.select("slice", "at", F.when(n > 0, F.col("k")).otherwise(0).alias("known"), (F.col("k") * base).alias("base"), (F.col("open") * root).alias("weight"))
-    return each.unionByName(more).groupBy("slice", "at").agg(F.sum("known").alias("known"), F.sum("base").alias("other_base"), F.sum("weight").alias("weight"))
-
-
-SCORED = "slice long, at long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+def _texts(data: list[bytes]) -> list[np.ndarray]:
+    """Of a row of texts: names, which are null, which are held out, numbers of tokens, ids, tokens."""
+    out = [expand(d, n) for d, n in zip(data[1:], np.frombuffer(data[0], np.int64).tolist(), strict=True)]
+    out[4] = np.cumsum(out[4])
+    return out
 
 
-def _texts(weights: DataFrame) -> DataFrame:
-    """Each text with the sum of its parts' weights; a slice's rows meet in one task, as its texts did."""
+def other_words(parts: DataFrame, counts: DataFrame, rare: DataFrame) -> DataFrame:
+    """``slice, at, n, share``: each slice's words that aren't broadcast, by number, with their counts and, as
+    states, the root's share of their words that aren't either. None is frequent, so no key is hot."""
 
-    def finished(number: int, text: dict, sums: list[dict]) -> pa.RecordBatch:
-        n, data = text["n"], text["data"][1:]
-        names, none, held, counts, known = (expand(d, n) for d in data[:5])
-        base, score = np.frombuffer(data[5]), np.frombuffer(data[6]).copy()
-        for r in sums:
-            score[np.cumsum(expand(r["data"][0], r["n"]))] += np.frombuffer(r["data"][1])
-        columns = [pa.array(np.full(n, number)), pa.array(np.arange(n)), pa.array(names, mask=none.astype(bool)), pa.array(held.astype(bool)), *map(pa.array, (counts, known, base, score))]
-        return pa.RecordBatch.from_arrays(columns, names=["slice", "at", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        text, sums = None, []
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                if row["kind"] == TEXTS:
-                    if text is not None:
-                        yield finished(text["slice"], text, sums)
-                    text, sums = row, []
-                else:
-                    sums.append(row)
-        if text is not None:
-            yield finished(text["slice"], text, sums)
+            for i in range(batch.num_rows):
+                number, (lengths, *_, steps, _) = (batch.column(j)[i].as_py() for j in range(2))
+                ids = np.cumsum(expand(steps, int(np.frombuffer(lengths, np.int64)[4])))
+                ids = ids[ids < 0]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), number)), pa.array(np.arange(len(ids))), pa.array(ids)], names=["slice", "at", "id"])
+
+    rows = parts.where(F.col("kind") == TEXTS).select("slice", "data").mapInArrow(unpacked, "slice long, at long, id long")
+    known = rows.join(counts.select(F.bitwise_not("key").alias("id"), "n"), "id")
+    return known.join(rare.withColumnRenamed("h", "id"), "id", "left").select("slice", "at", "n", F.coalesce("share", F.lit(0.0)).alias("share"))
+
+
+class Reader:
+    """The automaton as a slice's texts can meet it. Words are numbers below ``size``, and so are their
+    states; ``size`` itself is the root. ``root``: weight of the root's arc for each word; ``failure``: weight of
+    each state's failure arc, 0.0 of the root; ``arcs``: weights by ``state * size + word``; ``leads``: the
+    state after each word, whichever arc is taken."""
+
+    def __init__(self, root: list[float], failure: list[float], arcs: dict[int, float], known: list[bool]) -> None:
+        self.size, self.root, self.failure, self.arcs = len(root), root, failure, arcs
+        self.leads = [w if k else self.size for w, k in enumerate(known)]
+
+    def read(self, tokens: list[int]) -> float:
+        """Read one text from left to right, from the root; the sum of the weights of the arcs taken."""
+        size, root, failure, leads, arc = self.size, self.root, self.failure, self.leads, self.arcs.get
+        state, total = size, 0.0
+        for w in tokens:
+            weight = arc(state * size + w)
+            total += failure[state] + root[w] if weight is None else weight
+            state = leads[w]
+        return total
+
+
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def _reader(model: Words, d2: float, ids: np.ndarray, counts: np.ndarray, shares: np.ndarray, rows: list[dict]) -> Reader:
+    """A slice's reader: ids and counts of its words, shares of its states' words that aren't broadcast,
+    and the parts' answers."""
+    size, failure, arcs = len(ids), np.zeros(len(ids) + 1), {}
+    for r in rows:
+        met, h, w, n, states, failed, counted = r["data"]
+        h, w, n = np.cumsum(expand(h, r["n"])), expand(w, r["n"]), expand(n, r["n"])
+        h, w = np.searchsorted(ids, h), np.searchsorted(ids, w)
+        arcs.update(zip((h * size + w).tolist(), np.log10((n - d2) / counts[h]).tolist(), strict=True))
+        states = np.searchsorted(ids, np.cumsum(expand(states, int(np.frombuffer(met, np.int64)[0]))))
+        failure[states] = np.frombuffer(failed)
+        counted = np.frombuffer(counted)
+        rare = states[: len(counted)]
+        failure[rare] += np.log10(1 - counted) - np.log10(1 - counted - shares[rare])
+    return Reader(model.root(counts).tolist(), failure.tolist(), arcs, (counts > 0).tolist())
+
+
+def read_texts(answered: DataFrame, others: DataFrame, words: Words, d2: float) -> DataFrame:
+    """Every text's scores: a slice's texts, answers and other words meet in one task."""
+    shared = answered.sparkSession.sparkContext.broadcast(words)
+
+    def read(mine: pa.Table, found: pa.Table) -> pa.Table:
+        model = shared.value
+        rows = mine.to_pylist()
+        (texts,) = [r for r in rows if r["kind"] == TEXTS]
+        names, none, held, lengths, ids, tokens = _texts(texts["data"])
+        counts, shares = np.zeros(len(ids), np.int64), np.zeros(len(ids))
+        at = found.column("at").to_numpy()
+        counts[at], shares[at] = found.column("n").to_numpy(), found.column("share").to_numpy()
+        counts[ids >= 0] = model.counts[ids[ids >= 0]]
+        reader = _reader(model, d2, ids, counts, shares, [r for r in rows if r["kind"] == ARCS])
+        ends = np.cumsum(lengths)
+        starts = ends - lengths
+        score = [reader.read(tokens[a:b].tolist()) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        known, base = np.add.reduceat((counts > 0).astype(np.int64)[tokens], starts), np.add.reduceat(model.base(counts)[tokens], starts)
+        columns = [pa.array(names, mask=none.astype(bool)), pa.array(held.astype(bool)), pa.array(lengths), pa.array(known), pa.array(np.full(len(names), model.total)), pa.array(base), pa.array(score, pa.float64())]
+        return pa.Table.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    rows = weights.where(F.col("kind").isin(TEXTS, WEIGHTS))
-    return rows.repartition("slice").sortWithinPartitions("slice", "kind").mapInArrow(run, SCORED)
+    needed = answered.select("slice", "kind", "n", "data")
+    return needed.groupBy("slice").cogroup(others.groupBy("slice")).applyInArrow(read, SCORED)
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
@@ -483,12 +496,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     counts = cut(count_words(docs.where(~is_held_out())), "words")
     words = frequent_words(counts, spark)
-    with noted() as used:
-        parts = cut(merge_parts(deal_pairs(docs, words), words), "parts")
+    parts = cut(merge_parts(ask(docs, words), words), "parts")
     rare = cut(rare_shares(parts, counts, words), "rare")
-    weights = cut(weigh(parts, words, Failures(parts, words, rare)), "weights")
-    release(spark, used)  # the weights are written now, and nothing else reads the parts
-    zero = F.lit(0.0)
-    return _texts(weights).join(_others(weights, counts, words, rare), ["slice", "at"], "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(words.total).cast("long").alias("train_tokens"),
-        (F.col("base_score") + F.coalesce("other_base", zero)).alias("base_score"), (F.col("score") + F.coalesce("weight", zero)).alias("score"))
+    failures = Failures(parts, words, rare)
+    return read_texts(answers(parts, words, failures), other_words(parts, counts, rare), words, failures.d2)

@@ -152,6 +152,18 @@ def test_automaton_with_few_words_broadcast(documents, monkeypatch, cached):
     assert scored(documents) == plain(plain_scores(rows))
 
 
+def test_automaton_carries_its_state():
+    """Words a, b, c and an unknown one: an arc a b; after the unknown word the root is the state."""
+    a, b, c, unknown = range(4)
+    reader = automaton.Reader([-1.0, -2.0, -3.0, -4.0], [-0.5, -0.25, 0.0, -9.0, 0.0], {a * 4 + b: -0.125, 4 * 4 + c: -0.75}, [True, True, True, False])
+    assert reader.leads == [a, b, c, reader.size]
+    assert reader.read([]) == 0.0
+    assert reader.read([a, b]) == -1.0 - 0.125  # the arc
+    assert reader.read([b, a]) == -2.0 - 0.25 - 1.0  # b's failure arc, then the root's
+    assert reader.read([unknown, c]) == -4.0 - 0.75  # state root, not the unknown word
+    assert reader.read([a, unknown, b]) == -1.0 - 0.5 - 4.0 - 2.0
+
+
 def plain_fingerprint(text):
     words = (text or "").encode().lower().split()
     shingles = [b" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([b" ".join(words)] if words else [])
