@@ -26,6 +26,7 @@ INLINE = (
     r"(?i)([^.!?;]{24,}?)\s*\((?:class\s+of\s+recommendation\s*\[?COR\]?\s*|COR\s*)(I{1,3}|IIA|IIB|III(?::\s*(?:Harm|No\s+Benefit))?|1|2A|2B|3(?::\s*(?:Harm|No\s+Benefit))?)"
     r"\s*,?\s*(?:level\s+of\s+evidence\s*\[?LOE\]?\s*|LOE\s*)(A|B-NR|B-R|B|C-LD|C-EO|C-LM|C)\)"
 )
+INLINE_IF = r"(?i)\((?:class\s+of\s+recommendation|COR)"  # a part of every match of INLINE, found in one pass
 NUMBERED = r"(?i)(\d+)\.\s+(.+?)(?=(?:\|\s*\d+\.\s+)|(?:\|\s*Recommendation-Specific)|(?:\|\s*Referenced studies)|(?:\|\s*Synopsis)|$)"
 
 FOUND = ["doc", "page", "n", "text", "cor", "loe", "source"]
@@ -112,10 +113,9 @@ def pipe_tables(paragraphs: DataFrame) -> DataFrame:
 
 def inline_rows(paragraphs: DataFrame) -> DataFrame:
     """Sentences with their grades in brackets."""
-    pattern = F.lit(INLINE)
-    parts = F.arrays_zip(*[F.regexp_extract_all("line", pattern, F.lit(i)).alias(f"g{i}") for i in (1, 2, 3)])
-    found = paragraphs.select("doc", "page", "n", F.explode(parts).alias("g"))
-    return found.select("doc", "page", "n", F.trim("g.g1").alias("text"), tx.recommendation_class(F.col("g.g2")).alias("cor"), tx.evidence_level(F.col("g.g3")).alias("loe"), F.lit("inline-cor-loe").alias("source"))
+    found = paragraphs.where(F.col("line").rlike(INLINE_IF)).select("doc", "page", "n", F.explode(F.regexp_extract_all("line", F.lit(INLINE), F.lit(0))).alias("m"))
+    text, cor, loe = (F.regexp_extract("m", INLINE, i) for i in (1, 2, 3))
+    return found.select("doc", "page", "n", F.trim(text).alias("text"), tx.recommendation_class(cor).alias("cor"), tx.evidence_level(loe).alias("loe"), F.lit("inline-cor-loe").alias("source"))
 
 
 def numbered_rows(paragraphs: DataFrame) -> DataFrame:
@@ -140,7 +140,10 @@ def candidates(parts: Sequence[DataFrame], most: int | None = None) -> DataFrame
     for i, df in enumerate(parts):
         own = df.withColumn("priority", F.lit(i))
         out = own if out is None else out.unionByName(own)
-    done = out.withColumn("text", tx.finalize_statement("text")).where(tx.acceptable("text"))
+    # Extractors find unlike numbers of statements, so these are dealt anew, by the windows' key. Exploded, a
+    # statement is finished once; as a column it would be for the filter and again for each use.
+    finished = out.repartition("doc").withColumn("text", F.explode(F.array(tx.finalize_statement("text"))))
+    done = finished.where(tx.acceptable("text"))
     best = F.row_number().over(Window.partitionBy("doc", tx.title_key("text")).orderBy("priority", "page", "n"))
     kept = done.withColumn("_r", best).where("_r = 1").drop("_r")
     order = Window.partitionBy("doc").orderBy("priority", "page", "n", "text")
@@ -149,7 +152,9 @@ def candidates(parts: Sequence[DataFrame], most: int | None = None) -> DataFrame
 
 
 def extract_guidelines(lines: DataFrame) -> DataFrame:
-    """All extractors over lines (doc, page, n, line); paragraphs are a page's lines joined by bars."""
+    """All extractors over lines (doc, page, n, line); paragraphs are a page's lines joined by bars. Pages are dealt
+    before any pattern is tried, as a small table may come in one task."""
+    lines = lines.repartition("doc", "page")
     joined = F.array_join(F.array_sort(F.collect_list(F.struct("n", "line")))["line"], " | ")
     pages = lines.groupBy("doc", "page").agg(F.lit(0).alias("n"), joined.alias("line"))
     prose = pages.withColumn("line", F.replace("line", F.lit(" | "), F.lit(" ")))

@@ -75,3 +75,12 @@ def test_paged_records(spark, tmp_path):
         (tmp_path / f"p{i}.json").write_text(json.dumps({"results": [{"id": f"{i}-{j}", "title": "t", "year": 2000 + j} for j in range(2)]}))
     got = paged.read(spark, str(tmp_path))
     assert got.count() == 6 and got.agg(F.max("year")).first()[0] == 2001
+
+
+def test_statements_are_finished_once(spark):
+    """In the plan the steps of a statement are there once, whatever reads it; pages without grades in brackets
+    are left out of the search for them."""
+    lines = spark.createDataFrame([(1, 1, 0, "PCI is recommended in adults with angina (COR I, LOE A).")], "doc long, page long, n long, line string")
+    found = ex.extract_guidelines(lines)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Downloaded from") == 2  # cleaned before and after the cut
+    assert ("inline-cor-loe", "PCI is recommended in adults with angina", "1", "A") in [(r.source, r.text, r.cor, r.loe) for r in found.collect()]
