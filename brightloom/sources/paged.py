@@ -1,5 +1,7 @@
 """Paged record sources. A page is a JSON file with ``results`` and the cursor of the ``next`` page;
-pages are read through Spark, so they may lie in any store that Spark reads, and may come as a stream."""
+pages are read through Spark, so they may lie in any store that Spark reads, and may come as a stream.
+Many pages are better packed: files of JSON lines, each a page that also tells its name as ``page``, as a
+file for each page costs the driver and the store more than what is in it."""
 
 from __future__ import annotations
 
@@ -13,7 +15,11 @@ PAGE = "results array<struct<id:string,title:string,year:int>>, next string"
 def _parsed(files: DataFrame) -> DataFrame:
     """``page`` (its file's name), ``next`` and ``results`` of whole-text files; a byte-order mark goes."""
     parsed = F.from_json(F.regexp_replace("value", "^﻿", ""), PAGE)
-    return files.select(F.col("_metadata.file_name").alias("page"), parsed.alias("p")).select("page", "p.next", F.coalesce("p.results", F.array().cast("array<struct<id:string,title:string,year:int>>")).alias("results"))
+    return _whole(files.select(F.col("_metadata.file_name").alias("page"), parsed.alias("p")).select("page", "p.next", "p.results"))
+
+
+def _whole(found: DataFrame) -> DataFrame:
+    return found.select("page", "next", F.coalesce("results", F.array().cast("array<struct<id:string,title:string,year:int>>")).alias("results"))
 
 
 def pages(spark: SparkSession, path: str) -> DataFrame:
@@ -21,6 +27,16 @@ def pages(spark: SparkSession, path: str) -> DataFrame:
     return _parsed(spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(path))
 
 
+def pack(found: DataFrame, path: str, pages_a_file: int = 1000) -> None:
+    """Write pages (page, results, next) as packed files of at most so many."""
+    found.select("page", "results", "next").write.option("maxRecordsPerFile", pages_a_file).json(path)
+
+
+def packed(spark: SparkSession, path: str) -> DataFrame:
+    """All pages of a folder of packed files; a line that is no page has no results."""
+    return _whole(spark.read.schema(f"page string, {PAGE}").json(path))
+
+
 def _records(rows: DataFrame) -> DataFrame:
     return rows.select("page", F.explode("results").alias("r")).select("page", "r.id", "r.title", "r.year")
 
@@ -45,8 +61,10 @@ def followed(found: DataFrame, first: str, most: int | None = None) -> DataFrame
     return rows if most is None else rows.where(F.col("n") <= most)
 
 
-def stream(spark: SparkSession, path: str, pages_a_batch: int = 1000) -> DataFrame:
-    """The records of a folder's pages as a stream. The query's checkpoint remembers which pages were
-    read, so a query that is started again goes on with the others and reads each record once."""
-    files = spark.readStream.option("wholetext", True).option("pathGlobFilter", "*.json").option("maxFilesPerTrigger", pages_a_batch).text(path)
-    return _records(_parsed(files))
+def stream(spark: SparkSession, path: str, files_a_batch: int = 1000, packed: bool = False) -> DataFrame:
+    """The records of a folder's pages, a file each or packed, as a stream. The query's checkpoint remembers
+    which files were read, so a query that is started again goes on with the others and reads each record once."""
+    files = spark.readStream.option("maxFilesPerTrigger", files_a_batch)
+    if packed:
+        return _records(_whole(files.schema(f"page string, {PAGE}").json(path)))
+    return _records(_parsed(files.option("wholetext", True).option("pathGlobFilter", "*.json").text(path)))

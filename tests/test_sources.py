@@ -79,3 +79,40 @@ def test_a_failed_job_shows_nothing_and_the_next_goes_on(spark, tmp_path, wrong)
     assert all(p.name.endswith(".part") for p in target.iterdir())
     acquire.acquire(spark.createDataFrame(made, SCHEMA), str(target))
     assert {p.name: p.read_bytes() for p in target.iterdir()} == {f"f{i}.pdf": (tmp_path / f"source{i}").read_bytes() for i in range(4)}
+
+
+def test_packed_pages_are_those_of_single_files(spark, tmp_path):
+    """Records along cursors and as a stream, from a file for each page and from packed ones."""
+    single, folder = tmp_path / "single", tmp_path / "packed"
+    single.mkdir()
+    for i in range(7):
+        page(single, f"c{i}.json", [] if i == 5 else range(10 * i, 10 * i + i), f"c{i + 1}.json")
+    (single / "no.json").write_text("no page")
+    found = paged.pages(spark, str(single))
+    paged.pack(found.coalesce(1), str(folder), 3)
+    assert len(list(folder.glob("*.json"))) == 3
+    (folder / "broken.json").write_text('no page\n{"page": "x.json"}\n')
+    got = paged.packed(spark, str(folder))
+    assert sorted((r.page, r.next, r.results) for r in got.where("page LIKE 'c%'").collect()) == sorted((r.page, r.next, r.results) for r in found.where("page LIKE 'c%'").collect())
+    for most in (None, 4):
+        assert sorted(paged.followed(got, "c1.json", most).collect()) == sorted(paged.followed(found, "c1.json", most).collect())
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    for more in (None, "d.json"):
+        if more:
+            (folder / more).write_text(json.dumps({"page": more, "results": [{"id": "99"}]}))
+        for _ in range(2):
+            paged.stream(spark, str(folder), 1, packed=True).writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out).awaitTermination()
+    assert sorted(int(r.id) for r in spark.read.parquet(out).collect()) == sorted([10 * i + j for i in range(7) if i != 5 for j in range(i)] + [99])
+
+
+def test_pages_of_conversations_need_no_file_each(spark, sf_dir, monkeypatch):
+    from brightloom.plans import processes
+    from brightloom.plans.base import Tables
+
+    def refused(*_):
+        raise AssertionError("a file for each page")
+
+    monkeypatch.setattr(processes, "_named_files", refused)
+    t = Tables(spark, sf_dir)
+    assert processes.followed_pages(t).count() == min(100, t.conversations.count())
+    assert processes.streamed_pages(t).groupBy().sum("n").first()[0] == t.conversations.count()
